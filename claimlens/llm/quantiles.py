@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 K = 32
 QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
-BUCKETS = 16
 FAN_IN = 256
 SKETCH = "n long, low double, high double, weights array<int>, counts array<int>, states array<long>, items array<double>"
 
@@ -189,13 +188,15 @@ def sound(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf"))
 
 
-def measurements(cost: DataFrame, cells: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def measurements(cost: DataFrame, cells: DataFrame, buckets: int | None = None) -> DataFrame:
     """Long rows (generator, day, metric, value) without redeliveries.
 
     ``cells`` is joined by Spark's own choice, which broadcasts only under the
     session's size threshold. Rows without ``record_id`` cannot be redeliveries
-    and all count.
+    and all count. A day is cut into ``buckets`` by record id, as many more as the
+    session has shuffle partitions, so that no day is one task on a large input.
     """
+    buckets = buckets or max(2, int(cost.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     last = F.max(F.struct("received_utc", "latency_ms", "tokens_per_explanation", "cell_id"))
     rows = cost.select(
         "record_id",
