@@ -7,19 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import encode, packing, quantiles, spans
+from claimlens.llm import consensus, encode, mapping, packing, pairs, quantiles, spans, truncation
 from claimlens.sources import load, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.percentiles(load(spark, sf_dir, "cost_metrics"), load(spark, sf_dir, "cells"))
+    """Percentiles of every day and, with ``day`` null, of all days joined from the sketches of the days."""
+    shared_dir(spark)
+    daily = quantiles.daily_sketches(load(spark, sf_dir, "cost_metrics"), load(spark, sf_dir, "cells")).checkpoint()
+    joined = quantiles.combine_days(daily).withColumn("day", F.lit(None).cast("date"))
+    return quantiles.read_quantiles(daily.unionByName(joined), ["generator", "metric", "day"])
 
 
-def p1_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = quantiles.daily_sketches(load(spark, sf_dir, "cost_metrics"), load(spark, sf_dir, "cells"))
-    return quantiles.read_quantiles(daily, ["generator", "metric", "day"])
+def p1_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles over all days at once, with the least that can be moved."""
+    return quantiles.percentiles(load(spark, sf_dir, "cost_metrics"), load(spark, sf_dir, "cells"))
 
 
 def p1_days_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,78 @@ def p1_days_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.rank_check(quantiles.measurements(cost, cells), answers)
 
 
+def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapping.occurrences(load(spark, sf_dir, "claims"), load(spark, sf_dir, "annotations"), load(spark, sf_dir, "llm_passes"))
+    return mapping.map_rows(rows, load(spark, sf_dir, "feature_catalog"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_names(spark, sf_dir).select("src", "row_id", "pos", F.col("entry").alias("feature_id"))
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that mean no entry, with how often and where they were typed."""
+    rows = mapping.occurrences(load(spark, sf_dir, "claims"), load(spark, sf_dir, "annotations"), load(spark, sf_dir, "llm_passes"))
+    catalog = load(spark, sf_dir, "feature_catalog")
+    typed = mapping.cases(rows, catalog).groupBy("value", "src").agg(F.count("*").alias("times"))
+    named = mapping.map_values(typed.select("value"), catalog).filter("entry > 0")
+    return typed.join(named, "value", "left_anti").select("src", "value", "times")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.checked(load(spark, sf_dir, "llm_calls")).filter("defect IS NOT NULL").select("call_id", "defect")
+
+
+def p3_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every triggered type by model snapshot, with how often a fallback was taken."""
+    calls = pairs.checked(load(spark, sf_dir, "llm_calls")).select("call_id", "request_hash", "snapshot_id", "defects")
+    used = pairs.fallbacks(load(spark, sf_dir, "explanations"))
+    each = calls.join(used, "request_hash", "left").select("snapshot_id", "fallback", F.explode_outer("defects").alias("defect"))
+    return each.groupBy("snapshot_id", F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count("*").alias("answers"), F.count_if("fallback").alias("fallbacks"))
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, consensus.Consensus]:
+    shared_dir(spark)
+    items = load(spark, sf_dir, "probe_items")
+    votes = consensus.all_votes(items, load(spark, sf_dir, "annotations"), load(spark, sf_dir, "llm_passes"), load(spark, sf_dir, "feature_catalog")).checkpoint()
+    return items, votes, consensus.Consensus(votes)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _, model = fitted(spark, sf_dir)
+    return model.labels(consensus.units_of(items)).select("item_id", "feature", "label")
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _, model = fitted(spark, sf_dir)
+    return model.labels(consensus.units_of(items))
+
+
+def p4_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fitted(spark, sf_dir)[2].annotators()
+
+
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = consensus.all_votes(load(spark, sf_dir, "probe_items"), load(spark, sf_dir, "annotations"), load(spark, sf_dir, "llm_passes"), load(spark, sf_dir, "feature_catalog"))
+    return consensus.alpha(votes)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    rows = truncation.texts_of(load(spark, sf_dir, "llm_calls"), load(spark, sf_dir, "explanations"))
+    return truncation.judged(rows).filter("cut").select("src", "row_id")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts for each model snapshot and generator."""
+    shared_dir(spark)
+    calls, texts = load(spark, sf_dir, "llm_calls"), load(spark, sf_dir, "explanations")
+    found = truncation.judged(truncation.texts_of(calls, texts))
+    one = calls.select(F.lit("llm_calls").alias("src"), F.col("call_id").alias("row_id"), F.lit("snapshot").alias("source_kind"), F.col("snapshot_id").alias("source"))
+    two = texts.select(F.lit("explanations").alias("src"), F.col("explanation_id").alias("row_id"), F.lit("generator").alias("source_kind"), F.col("generator_id").alias("source"))
+    return truncation.rates(found, one.unionByName(two))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(load(spark, sf_dir, "documents"), keep=("doc_id",))
 
@@ -68,8 +144,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_percentiles": p1_percentiles,
-    "p1_by_day": p1_by_day,
+    "p1_overall": p1_overall,
     "p1_days_joined": p1_days_joined,
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
+    "p3_found": p3_found,
+    "p3_defects": p3_defects,
+    "p4_found": p4_found,
+    "p4_labels": p4_labels,
+    "p4_annotators": p4_annotators,
+    "p4_agreement": p4_agreement,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_ids": p6_ids,
     "p6_by_language": p6_by_language,
     "p7_containers": p7_containers,
