@@ -10,7 +10,7 @@ and at its last line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that show nothing.
@@ -51,26 +51,30 @@ def json_cut(text: Column) -> Column:
     return (_count(outside, "[") > _count(outside, "]")) | (_count(outside, "{") > _count(outside, "}")) | (_count(bare, '"') % 2 == 1)
 
 
-def ends_cut(text: Column) -> Column:
-    """Whether the ending is cut; null and empty texts are not."""
-    b = body(text)
-    like = lambda c, p: F.regexp_like(c, F.lit(p))
-    line = F.regexp_extract(b, r"([^\n\r]*)$", 1)
-    tail = F.regexp_replace(line, CLOSERS + "$", "")
-    open_bracket = like(b, r"[(\[][^()\[\]\n]*$")
-    open_fence = (F.size(F.split(b, "```")) - 1) % 2 == 1
-    open_bold = ((F.size(F.split(line, r"\*\*")) - 1) % 2 == 1) & ~like(line, r"^\*\*[^*]+$|^[^*]+\*\*$")
-    marker_only = like(line, r"^\s*(?:[-*•]|\d+[.)])\s*\**$")
-    stops = like(tail, r"[.!?。！？]$")
-    number_dot = like(tail, r"(?:^|[\s(=+\- ])(?:\d{1,3}(?:,\d{3})+|\d{1,6})\.$")
-    bracket = like(tail, r"[)\]]$")
-    dashes = like(line, r"^[-=*_~#]{2,}.*[-=*_~#]{2,}$|^</\w+>$")
-    label = like(F.lower(line), rf"^[*_]*\p{{L}}[\p{{L}} ]{{0,30}}?\s?:[*_]*\s*{LEVELS}[*_]*$")
-    first = F.length(F.regexp_extract(b, r"[=:]\s*[+-]?\d[\d,]*\.(\d+)", 1))
-    last = F.length(F.regexp_extract(b, r"[=:]\s*[+-]?\d[\d,]*\.(\d+)$", 1))
+def with_ending(df: DataFrame, text: str, out: str = "cut") -> DataFrame:
+    """``df`` with whether the ending of ``text`` is cut; null and empty texts are not.
+
+    The parts that several rules look at are columns of their own, so that each
+    is made once for a row.
+    """
+    like = lambda c, p: F.regexp_like(F.col(c), F.lit(p))
+    parts = df.withColumn("b_", body(F.col(text))).withColumn("line_", F.regexp_extract("b_", r"([^\n\r]*)$", 1)).withColumn("tail_", F.regexp_replace("line_", CLOSERS + "$", ""))
+    open_bracket = like("b_", r"[(\[][^()\[\]\n]*$")
+    open_fence = (F.size(F.split("b_", "```")) - 1) % 2 == 1
+    open_bold = ((F.size(F.split("line_", r"\*\*")) - 1) % 2 == 1) & ~like("line_", r"^\*\*[^*]+$|^[^*]+\*\*$")
+    marker_only = like("line_", r"^\s*(?:[-*•]|\d+[.)])\s*\**$")
+    stops = like("tail_", r"[.!?。！？]$")
+    number_dot = like("tail_", r"(?:^|[\s(=+\- ])(?:\d{1,3}(?:,\d{3})+|\d{1,6})\.$")
+    bracket = like("tail_", r"[)\]]$")
+    dashes = like("line_", r"^[-=*_~#]{2,}.*[-=*_~#]{2,}$|^</\w+>$")
+    label = F.regexp_like(F.lower("line_"), F.lit(rf"^[*_]*\p{{L}}[\p{{L}} ]{{0,30}}?\s?:[*_]*\s*{LEVELS}[*_]*$"))
+    last = F.length(F.regexp_extract("b_", r"[=:]\s*[+-]?\d[\d,]*\.(\d+)$", 1))
+    first = F.length(F.regexp_extract("b_", r"[=:]\s*[+-]?\d[\d,]*\.(\d+)", 1))
     listed = (last > 0) & (last == first)
-    word = like(b, r"^[\W_]*\p{Lu}{3,}[\W_]*$")
-    whole = (stops & ~number_dot) | bracket | dashes | label | listed | word
+    word = like("b_", r"^[\W_]*\p{Lu}{3,}[\W_]*$")
+    whole = (stops & ~number_dot) | bracket | dashes | label | word | listed
     prose = marker_only | open_bracket | open_fence | open_bold | ~whole
-    cut = F.when(json_like(text), json_cut(b)).otherwise(prose)
-    return F.when(F.coalesce(F.length(b), F.lit(0)) == 0, F.lit(False)).otherwise(has_trace(text) | cut)
+    traced = like("b_", TRACE)
+    cut = F.when(json_like(F.col("b_")), json_cut(F.col("b_"))).otherwise(prose)
+    judged = F.when(F.coalesce(F.length("b_"), F.lit(0)) == 0, F.lit(False)).otherwise(traced | cut)
+    return parts.withColumn(out, judged).drop("b_", "line_", "tail_")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.endings import INVISIBLE, body, ends_cut, json_like
+from claimlens.llm.endings import INVISIBLE, body, json_like, with_ending
 
 COPIED_SHARE = 0.55
 RUN = 4
@@ -39,7 +39,7 @@ FUNCTION_WORDS = {
     "en": "the|and|with|of|to|is|was|were|for|by|it|its|which|from|that|this|are|because|since|not|there|whose|has|be|as|at|on|or|while|where|into|but|out",
     "de": "der|die|das|den|dem|und|für|mit|von|zu|bei|ist|wurde|wurden|eine|einen|nicht|sich|auf|weil|lag|wert|gegen|auch|dass|aus|sie|ich|es|wird|vom|zum|zur|im|um|nennt|warum",
     "es": "el|los|las|con|por|para|y|al|del|se|su|más|hacia|una|como|también|puntuación|lo|qué|cada|sin|este|esta|fue|peso|aporte",
-    "fr": "le|les|du|une|et|est|pour|avec|à|au|aux|dans|été|sur|par|vers|il|ne|pas|cette|ce|aussi|qui|je|pourquoi|chaque|poids|comme|plutôt|l|d",
+    "fr": "le|les|du|une|et|est|pour|avec|à|au|aux|dans|été|sur|par|vers|il|ne|pas|cette|ce|aussi|qui|je|pourquoi|chaque|poids|comme|plutôt",
 }
 #: Names of the languages in these languages.
 LANGUAGE_NAMES = {
@@ -57,7 +57,6 @@ REFUSALS = (
     r"no puedo (?:ayudar|responder|hacer|dar|explicar|escribir|comentar)|no me está permitido|debo (?:rechazar|declinar)|prefiero no|no debo|lo siento|no voy a|me niego",
     r"je ne (?:peux|puis|dois|vais) pas (?:vous )?(?:aider|répondre|expliquer|écrire|commenter|donner|fournir)|m['’]est pas permis|dois (?:refuser|décliner)|préfère (?:ne pas|éviter)|désolée?\b|je refuse",
 )
-APART = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
 
 
 def left_over(text: Column) -> Column:
@@ -97,30 +96,34 @@ def word_runs(words: Column, n: int = RUN) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def copied_share(text: Column, prompt: Column) -> Column:
+def with_copied_share(df: DataFrame, text: str, prompt: str, out: str = "copied") -> DataFrame:
     """Share of the answer's word runs that stand in the prompt; a shorter answer counts as one run."""
-    mine, theirs = plain_words(text), plain_words(prompt)
-    runs = word_runs(mine)
-    few = (F.size(mine) >= 2) & F.contains(F.concat(F.lit(" "), F.array_join(theirs, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(mine, " "), F.lit(" ")))
-    return F.when(F.size(mine) < RUN, F.when(few, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(runs, word_runs(theirs))) / F.greatest(F.size(runs), F.lit(1)))
+    words = df.withColumn("mine_", plain_words(F.col(text))).withColumn("theirs_", plain_words(F.col(prompt)))
+    runs = words.withColumn("runs_", word_runs(F.col("mine_"))).withColumn("of_", F.when(F.size("mine_") >= RUN, word_runs(F.col("theirs_"))))
+    few = (F.size("mine_") >= 2) & F.contains(F.concat(F.lit(" "), F.array_join("theirs_", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("mine_", " "), F.lit(" ")))
+    share = F.when(F.size("mine_") < RUN, F.when(few, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect("runs_", "of_")) / F.greatest(F.size("runs_"), F.lit(1)))
+    return runs.withColumn(out, F.coalesce(share, F.lit(0.0))).drop("mine_", "theirs_", "runs_", "of_")
 
 
-def language(text: Column) -> Column:
+def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
     """The language whose function words lead with two at least, else null."""
-    low = F.lower(text)
-    counts = F.array(*[F.struct(F.regexp_count(low, F.lit(APART % w)).alias("n"), F.lit(k).alias("k")) for k, w in FUNCTION_WORDS.items()])
-    first = F.array_max(counts)
-    second = F.array_max(F.transform(F.filter(counts, lambda x: x["k"] != first["k"]), lambda x: x["n"]))
-    return F.when((first["n"] >= 2) & (first["n"] > second), first["k"])
+    words = df.withColumn("words_", F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![\p{L}\p{N}])\p{L}+(?![\p{L}\p{N}])"), 0))
 
+    def among(of: str) -> Column:
+        return F.size(F.filter("words_", lambda x: x.isin(*of.split("|"))))
 
-def asked_language(told: Column) -> Column:
-    """The language that the instructions name last, else the one they are written in."""
-    low = F.lower(told)
-    every = "|".join(LANGUAGE_NAMES.values())
-    named = F.regexp_extract(low, rf"(?s).*(?<![\p{{L}}])({every})(?![\p{{L}}])", 1)
-    known = F.coalesce(*[F.when(F.regexp_like(named, F.lit(f"^(?:{w})$")), F.lit(k)) for k, w in LANGUAGE_NAMES.items()])
-    return F.coalesce(known, language(told))
+    counts = F.array(*[F.struct(among(w).alias("n"), F.lit(k).alias("k")) for k, w in FUNCTION_WORDS.items()])
+    ranked = words.withColumn("counts_", F.reverse(F.array_sort(counts)))
+    first, second = F.col("counts_")[0], F.col("counts_")[1]
+    return ranked.withColumn(out, F.when((first["n"] >= 2) & (first["n"] > second["n"]), first["k"])).drop("words_", "counts_")
+
+
+def named_language(told: Column) -> Column:
+    """The language that the instructions name last."""
+    every = {w: k for k, names in LANGUAGE_NAMES.items() for w in names.split("|")}
+    words = F.filter(F.regexp_extract_all(F.lower(told), F.lit(r"\p{L}+"), 0), lambda x: x.isin(*every))
+    last = F.element_at(F.when(F.size(words) > 0, words), -1)
+    return F.coalesce(*[F.when(last.isin(*w.split("|")), F.lit(k)) for k, w in LANGUAGE_NAMES.items()])
 
 
 def evidence(told: Column) -> Column:
@@ -131,28 +134,29 @@ def evidence(told: Column) -> Column:
 def checked(calls: DataFrame, prompt: str = "prompt", text: str = "text") -> DataFrame:
     """``calls`` with ``defects`` (array in the order of the rules) and ``defect`` (the first, null if sound)."""
     inner = calls.select(F.struct(*[F.col(f"`{c}`") for c in calls.columns]).alias("row"), F.coalesce(F.col(prompt), F.lit("")).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    told = instructions(F.col("p"))
-    one = inner.withColumn("told", told).withColumn("left", left_over(F.col("t")))
+    one = inner.withColumn("told", instructions(F.col("p"))).withColumn("left", left_over(F.col("t"))).withColumn("low", F.lower("t"))
     two = one.withColumn("sound", offered(F.col("t"), F.col("told"))).withColumn("json", json_like(F.col("t")))
-    empty = (F.length("left") == 0) & ~F.col("sound")
-    share = copied_share(F.col("t"), F.col("p"))
-    copy = ~empty & ~F.col("sound") & ~F.col("json") & (share >= COPIED_SHARE)
-    low = F.lower(F.col("t"))
+    three = with_ending(with_copied_share(two, "t", "p", "share"), "t", "cut")
     phrase = F.lit(False)
     for x in REFUSALS:
-        phrase = phrase | F.regexp_like(low, F.lit(x))
-    named = F.exists(evidence(F.col("p")), lambda x: F.contains(low, x))
-    explains = named | F.regexp_like(F.col("t"), F.lit(r"\d"))
-    three = two.withColumn("empty", empty).withColumn("copy", copy).withColumn("explains", explains).withColumn("phrase", phrase).withColumn("cut", ends_cut(F.col("t")))
-    free = ~F.col("empty") & ~F.col("copy")
-    declines = free & ~F.col("sound") & ~F.col("json") & ~F.col("explains") & (F.col("phrase") | ~F.col("cut"))
-    four = three.withColumn("declines", declines).withColumn("is", F.when(free & ~F.col("json"), language(F.col("t")))).withColumn("asked", asked_language(F.col("told")))
-    truncated = free & ~F.col("declines") & F.col("cut") & ~(F.col("sound") & F.regexp_like(body(F.col("t")), F.lit(r"^[\W_]*\p{L}+[\W_]*$|^\[\s*\]$")))
-    other = free & ~F.col("declines") & F.col("is").isNotNull() & F.col("asked").isNotNull() & (F.col("is") != F.col("asked"))
+        phrase = phrase | F.regexp_like("low", F.lit(x))
+    answer = ~F.col("sound") & ~F.col("json")
+    named = F.exists("names", lambda x: F.contains(F.col("low"), x))
+    four = (
+        three.withColumn("empty", (F.length("left") == 0) & ~F.col("sound"))
+        .withColumn("copy", ~F.col("empty") & answer & (F.col("share") >= COPIED_SHARE))
+        .withColumn("free", ~F.col("empty") & ~F.col("copy"))
+        .withColumn("names", F.when(F.regexp_like("t", F.lit(r"\d")), F.array().cast("array<string>")).otherwise(evidence(F.col("p"))))
+        .withColumn("explains", F.regexp_like("t", F.lit(r"\d")) | named)
+        .withColumn("declines", F.col("free") & answer & ~F.col("explains") & (~F.col("cut") | phrase))
+    )
+    five = with_language(with_language(four, "t", "is"), "told", "written").withColumn("asked", F.coalesce(named_language(F.col("told")), F.col("written")))
+    bare = F.col("sound") & F.regexp_like(body(F.col("t")), F.lit(r"^[\W_]*\p{L}+[\W_]*$|^\[\s*\]$"))
+    truncated = F.col("free") & ~F.col("declines") & F.col("cut") & ~bare
+    other = F.col("free") & ~F.col("json") & ~F.col("declines") & F.col("is").isNotNull() & F.col("asked").isNotNull() & (F.col("is") != F.col("asked"))
     rules = (("empty", F.col("empty")), ("copy", F.col("copy")), ("refusal", F.col("declines")), ("truncated", truncated), ("language", other))
     every = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules]), lambda x: x.isNotNull())
-    done = four.select("row.*", every.alias("defects"))
-    return done.withColumn("defect", F.get("defects", F.lit(0)))
+    return five.select("row.*", every.alias("defects")).withColumn("defect", F.get("defects", F.lit(0)))
 
 
 def fallbacks(explanations: DataFrame) -> DataFrame:

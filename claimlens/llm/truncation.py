@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from claimlens.llm import pairs
-from claimlens.llm.endings import body, ends_cut, has_trace, without_trace
+from claimlens.llm.endings import body, has_trace, with_ending, without_trace
 
 LEAST = 16
 
@@ -75,19 +75,22 @@ def texts_of(calls: DataFrame, explanations: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame) -> DataFrame:
     """``rows`` (src, row_id, text, prompt) with ``cut`` and ``copy_found`` (a longer copy exists)."""
-    v = F.regexp_replace(without_trace(F.col("text")), r"\s+$", "")
-    base = rows.select("src", "row_id", "text", "prompt", v.alias("v"))
+    base = rows.select("src", "row_id", "text", F.coalesce("prompt", F.lit("")).alias("p"), F.regexp_replace(without_trace(F.col("text")), r"\s+$", "").alias("v"))
     copies = longer_copies(base.filter(F.length("v") >= LEAST))
-    content = F.length(pairs.left_over(F.col("text"))) > 0
-    sound = pairs.offered(F.col("text"), pairs.instructions(F.coalesce("prompt", F.lit("")))) & F.regexp_like(body(F.col("text")), F.lit(r"^[\W_]*\p{L}+[\W_]*$"))
-    copied = F.col("prompt").isNotNull() & (pairs.copied_share(F.col("text"), F.col("prompt")) >= pairs.COPIED_SHARE) & ~pairs.json_like(F.col("text")) & ~pairs.offered(F.col("text"), pairs.instructions(F.col("prompt")))
-    shaped = base.select("src", "row_id", F.xxhash64("v").alias("h"), ends_cut(F.col("text")).alias("shape"), has_trace(F.col("text")).alias("trace"), content.alias("content"), F.coalesce(sound, F.lit(False)).alias("sound"), F.coalesce(copied, F.lit(False)).alias("copied")).checkpoint()
+    told = base.withColumn("told", pairs.instructions(F.col("p")))
+    offered = told.withColumn("offered", pairs.offered(F.col("text"), F.col("told")))
+    shares = with_ending(pairs.with_copied_share(offered, "text", "p", "share"), "text", "shape")
+    copied = (F.col("share") >= pairs.COPIED_SHARE) & ~pairs.json_like(F.col("text")) & ~F.col("offered")
+    bare = F.col("offered") & F.regexp_like(body(F.col("text")), F.lit(r"^[\W_]*\p{L}+[\W_]*$"))
+    fair = (F.length(pairs.left_over(F.col("text"))) > 0) & ~bare & ~copied
+    shaped = shares.select("src", "row_id", F.xxhash64("v").alias("h"), "shape", has_trace(F.col("text")).alias("trace"), fair.alias("fair"), copied.alias("copied")).checkpoint()
     echoes = shaped.filter("copied").select("h").distinct()
-    met = shaped.join(copies, "h", "left").join(echoes.withColumn("echo", F.lit(True)), "h", "left").join(echoes.select(F.col("h").alias("longer"), F.lit(True).alias("echo_")), "longer", "left")
+    near = copies.join(echoes.select(F.col("h").alias("longer"), F.lit(True).alias("echo")), "longer", "left")
+    known = near.join(echoes.withColumn("echo_", F.lit(True)), "h", "full").select("h", "longer", "follows", F.coalesce("echo", "echo_").alias("echo"))
+    met = shaped.join(known, "h", "left")
     goes_on = F.col("follows").isNotNull() & ~F.regexp_like("follows", F.lit(r"[\s\p{P}]"))
-    cut = F.col("shape") | F.coalesce(goes_on, F.lit(False))
-    fair = F.col("content") & ~F.col("sound") & F.col("echo").isNull() & F.col("echo_").isNull()
-    return met.select("src", "row_id", (fair & cut).alias("cut"), F.col("longer").isNotNull().alias("copy_found"), "trace")
+    cut = F.col("fair") & F.col("echo").isNull() & (F.col("shape") | F.coalesce(goes_on, F.lit(False)))
+    return met.select("src", "row_id", F.coalesce(cut, F.lit(False)).alias("cut"), F.col("longer").isNotNull().alias("copy_found"), "trace")
 
 
 def rates(found: DataFrame, sources: DataFrame) -> DataFrame:
