@@ -37,7 +37,7 @@ def without_trace(text: Column) -> Column:
 
 
 def _count(text: Column, sign: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+    return (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))) / len(sign)
 
 
 def json_like(text: Column) -> Column:
@@ -58,9 +58,9 @@ def with_ending(df: DataFrame, text: str, out: str = "cut") -> DataFrame:
     is made once for a row.
     """
     like = lambda c, p: F.regexp_like(F.col(c), F.lit(p))
-    parts = df.withColumn("b_", body(F.col(text))).withColumn("line_", F.regexp_extract("b_", r"([^\n\r]*)$", 1)).withColumn("tail_", F.regexp_replace("line_", CLOSERS + "$", ""))
-    open_bracket = like("b_", r"[(\[][^()\[\]\n]*$")
-    open_fence = (F.size(F.split("b_", "```")) - 1) % 2 == 1
+    parts = df.withColumn("b_", body(F.col(text))).withColumn("line_", F.substring_index(F.replace("b_", F.lit("\r"), F.lit("\n")), "\n", -1)).withColumn("tail_", F.regexp_replace("line_", CLOSERS + "$", ""))
+    open_bracket = like("line_", r"[(\[][^()\[\]]*$")
+    open_fence = _count(F.col("b_"), "```") % 2 == 1
     open_bold = ((F.size(F.split("line_", r"\*\*")) - 1) % 2 == 1) & ~like("line_", r"^\*\*[^*]+$|^[^*]+\*\*$")
     marker_only = like("line_", r"^\s*(?:[-*•]|\d+[.)])\s*\**$")
     stops = like("tail_", r"[.!?。！？]$")
@@ -68,10 +68,10 @@ def with_ending(df: DataFrame, text: str, out: str = "cut") -> DataFrame:
     bracket = like("tail_", r"[)\]]$")
     dashes = like("line_", r"^[-=*_~#]{2,}.*[-=*_~#]{2,}$|^</\w+>$")
     label = F.regexp_like(F.lower("line_"), F.lit(rf"^[*_]*\p{{L}}[\p{{L}} ]{{0,30}}?\s?:[*_]*\s*{LEVELS}[*_]*$"))
-    last = F.length(F.regexp_extract("b_", r"[=:]\s*[+-]?\d[\d,]*\.(\d+)$", 1))
-    first = F.length(F.regexp_extract("b_", r"[=:]\s*[+-]?\d[\d,]*\.(\d+)", 1))
-    listed = (last > 0) & (last == first)
-    word = like("b_", r"^[\W_]*\p{Lu}{3,}[\W_]*$")
+    last = F.length(F.regexp_extract("line_", r"[=:]\s*[+-]?\d[\d,]*\.(\d+)$", 1))
+    first = F.when(last > 0, F.length(F.regexp_extract("b_", r"[=:]\s*[+-]?\d[\d,]*\.(\d+)", 1)))
+    listed = F.coalesce(last == first, F.lit(False))
+    word = (F.length("b_") < 60) & like("b_", r"^[\W_]*\p{Lu}{3,}[\W_]*$")
     whole = (stops & ~number_dot) | bracket | dashes | label | word | listed
     prose = marker_only | open_bracket | open_fence | open_bold | ~whole
     traced = like("b_", TRACE)

@@ -91,18 +91,22 @@ def plain_words(text: Column) -> Column:
 
 
 def word_runs(words: Column, n: int = RUN) -> Column:
-    """The different runs of ``n`` neighbouring words."""
-    every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    """Hashes of the different runs of ``n`` neighbouring words."""
+    every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+    return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_copied_share(df: DataFrame, text: str, prompt: str, out: str = "copied") -> DataFrame:
-    """Share of the answer's word runs that stand in the prompt; a shorter answer counts as one run."""
-    words = df.withColumn("mine_", plain_words(F.col(text))).withColumn("theirs_", plain_words(F.col(prompt)))
+def with_copied_share(df: DataFrame, text: str, prompt: str, where: Column, out: str = "copied") -> DataFrame:
+    """Share of the answer's word runs that stand in the prompt; a shorter answer counts as one run.
+
+    Rows that ``where`` leaves out get 0 unread.
+    """
+    words = df.withColumn("mine_", F.when(where, plain_words(F.col(text)))).withColumn("theirs_", F.when(F.size("mine_") > 1, plain_words(F.col(prompt))))
     runs = words.withColumn("runs_", word_runs(F.col("mine_"))).withColumn("of_", F.when(F.size("mine_") >= RUN, word_runs(F.col("theirs_"))))
-    few = (F.size("mine_") >= 2) & F.contains(F.concat(F.lit(" "), F.array_join("theirs_", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("mine_", " "), F.lit(" ")))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    few = (F.size("mine_") >= 2) & F.contains(spaced("theirs_"), spaced("mine_"))
     share = F.when(F.size("mine_") < RUN, F.when(few, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect("runs_", "of_")) / F.greatest(F.size("runs_"), F.lit(1)))
-    return runs.withColumn(out, F.coalesce(share, F.lit(0.0))).drop("mine_", "theirs_", "runs_", "of_")
+    return runs.withColumn(out, F.when(F.col("theirs_").isNotNull(), F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))).drop("mine_", "theirs_", "runs_", "of_")
 
 
 def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -136,7 +140,7 @@ def checked(calls: DataFrame, prompt: str = "prompt", text: str = "text") -> Dat
     inner = calls.select(F.struct(*[F.col(f"`{c}`") for c in calls.columns]).alias("row"), F.coalesce(F.col(prompt), F.lit("")).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     one = inner.withColumn("told", instructions(F.col("p"))).withColumn("left", left_over(F.col("t"))).withColumn("low", F.lower("t"))
     two = one.withColumn("sound", offered(F.col("t"), F.col("told"))).withColumn("json", json_like(F.col("t")))
-    three = with_ending(with_copied_share(two, "t", "p", "share"), "t", "cut")
+    three = with_ending(with_copied_share(two, "t", "p", ~F.col("sound") & ~F.col("json"), "share"), "t", "cut")
     phrase = F.lit(False)
     for x in REFUSALS:
         phrase = phrase | F.regexp_like("low", F.lit(x))

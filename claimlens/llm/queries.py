@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import consensus, encode, mapping, packing, pairs, quantiles, spans, truncation
+from claimlens.plans.parallel import deal_out
 from claimlens.sources import load, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,12 +54,12 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.checked(load(spark, sf_dir, "llm_calls")).filter("defect IS NOT NULL").select("call_id", "defect")
+    return pairs.checked(deal_out(load(spark, sf_dir, "llm_calls"))).filter("defect IS NOT NULL").select("call_id", "defect")
 
 
 def p3_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every triggered type by model snapshot, with how often a fallback was taken."""
-    calls = pairs.checked(load(spark, sf_dir, "llm_calls")).select("call_id", "request_hash", "snapshot_id", "defects")
+    calls = pairs.checked(deal_out(load(spark, sf_dir, "llm_calls"))).select("call_id", "request_hash", "snapshot_id", "defects")
     used = pairs.fallbacks(load(spark, sf_dir, "explanations"))
     each = calls.join(used, "request_hash", "left").select("snapshot_id", "fallback", F.explode_outer("defects").alias("defect"))
     return each.groupBy("snapshot_id", F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count("*").alias("answers"), F.count_if("fallback").alias("fallbacks"))

@@ -77,19 +77,20 @@ def judged(rows: DataFrame) -> DataFrame:
     """``rows`` (src, row_id, text, prompt) with ``cut`` and ``copy_found`` (a longer copy exists)."""
     base = rows.select("src", "row_id", "text", F.coalesce("prompt", F.lit("")).alias("p"), F.regexp_replace(without_trace(F.col("text")), r"\s+$", "").alias("v"))
     copies = longer_copies(base.filter(F.length("v") >= LEAST))
-    told = base.withColumn("told", pairs.instructions(F.col("p")))
-    offered = told.withColumn("offered", pairs.offered(F.col("text"), F.col("told")))
-    shares = with_ending(pairs.with_copied_share(offered, "text", "p", "share"), "text", "shape")
-    copied = (F.col("share") >= pairs.COPIED_SHARE) & ~pairs.json_like(F.col("text")) & ~F.col("offered")
+    shape = with_ending(base, "text", "shape").withColumn("trace", F.col("shape") & has_trace(F.col("text")))
+    # only endings that look cut need to be told from answers that give back the prompt
+    told = shape.withColumn("told", F.when(F.col("shape"), pairs.instructions(F.col("p")))).withColumn("offered", F.coalesce(pairs.offered(F.col("text"), F.col("told")), F.lit(False)))
+    shares = pairs.with_copied_share(told, "text", "p", F.col("shape") & ~F.col("offered") & ~pairs.json_like(F.col("text")), "share")
     bare = F.col("offered") & F.regexp_like(body(F.col("text")), F.lit(r"^[\W_]*\p{L}+[\W_]*$"))
-    fair = (F.length(pairs.left_over(F.col("text"))) > 0) & ~bare & ~copied
-    shaped = shares.select("src", "row_id", F.xxhash64("v").alias("h"), "shape", has_trace(F.col("text")).alias("trace"), fair.alias("fair"), copied.alias("copied")).checkpoint()
+    copied = F.col("share") >= pairs.COPIED_SHARE
+    fair = F.col("shape") & (F.length(pairs.left_over(F.col("text"))) > 0) & ~bare & ~copied
+    shaped = shares.select("src", "row_id", F.xxhash64("v").alias("h"), "shape", "trace", fair.alias("fair"), copied.alias("copied")).checkpoint()
     echoes = shaped.filter("copied").select("h").distinct()
     near = copies.join(echoes.select(F.col("h").alias("longer"), F.lit(True).alias("echo")), "longer", "left")
     known = near.join(echoes.withColumn("echo_", F.lit(True)), "h", "full").select("h", "longer", "follows", F.coalesce("echo", "echo_").alias("echo"))
     met = shaped.join(known, "h", "left")
     goes_on = F.col("follows").isNotNull() & ~F.regexp_like("follows", F.lit(r"[\s\p{P}]"))
-    cut = F.col("fair") & F.col("echo").isNull() & (F.col("shape") | F.coalesce(goes_on, F.lit(False)))
+    cut = (F.col("fair") | (~F.col("shape") & F.coalesce(goes_on, F.lit(False)))) & F.col("echo").isNull()
     return met.select("src", "row_id", F.coalesce(cut, F.lit(False)).alias("cut"), F.col("longer").isNotNull().alias("copy_found"), "trace")
 
 
