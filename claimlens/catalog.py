@@ -1,18 +1,22 @@
-"""Registry of the core queries and of the SQL each is checked against."""
+"""The core queries and the SQL each is checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from claimlens.registry import Query
 
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "l1_03_mention_f1"
+MODULES = ("layer1", "layer2")
+
+
+def _registries():
+    return [import_module(f"claimlens.plans.{m}").registry for m in MODULES]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for r in _registries() for name, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for r in _registries() for name, q in r.sql.items()}
