@@ -41,20 +41,31 @@ def per_feature(value: Column, chosen: Column) -> Column:
 
 def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2-13: rows (instance_id, class, k, space, metric values), both families in one pass."""
-    rows = audited(spark, sf_dir)
+    rows = audited(spark, sf_dir).select("instance_id", "class", "x", "ranked", "claims", F.col("p").alias("full"))
+    # each score is made once and read in both spaces
+    for k in KS:
+        rows = rows.withColumn(f"top{k}", A.features(F.slice("ranked", 1, k))).withColumn(f"said{k}", A.cited(F.col("claims"), names(), k))
+    scores = []
+    for k in KS:
+        for family in ("top", "said"):
+            chosen = F.col(f"{family}{k}")
+            scores.append(score(A.erased(names(), F.col("x"), background(), chosen)).alias(f"without_{family}{k}"))
+            scores.append(score(A.erased(names(), F.col("x"), background(), F.array_except(names(), chosen))).alias(f"only_{family}{k}"))
+    rows = rows.select("instance_id", "class", "full", *[F.size(f"said{k}").alias(f"n{k}") for k in KS], *scores)
     sweeps = []
     for k in KS:
-        top, said = A.features(F.slice("ranked", 1, k)), A.cited(F.col("claims"), names(), k)
         for space in SPACES:
+            full = _space(F.col("full"), space)
+            apart = {f"{v}_{f}": full - _space(F.col(f"{v}_{f}{k}"), space) for v in ("without", "only") for f in ("top", "said")}
             sweeps.append(
                 F.struct(
                     F.lit(k).alias("k"),
                     F.lit(space).alias("space"),
-                    F.size(said).alias("n_cited"),
-                    comprehensiveness(F.col("x"), top, space).alias("comprehensiveness"),
-                    sufficiency(F.col("x"), top, space).alias("sufficiency"),
-                    comprehensiveness(F.col("x"), said, space).alias("comprehensiveness_cited"),
-                    sufficiency(F.col("x"), said, space).alias("sufficiency_cited"),
+                    F.col(f"n{k}").alias("n_cited"),
+                    apart["without_top"].alias("comprehensiveness"),
+                    apart["only_top"].alias("sufficiency"),
+                    F.when(F.col(f"n{k}") > 0, apart["without_said"]).otherwise(F.lit(0.0)).alias("comprehensiveness_cited"),
+                    apart["only_said"].alias("sufficiency_cited"),
                 )
             )
     one = rows.select("instance_id", "class", F.inline(F.array(*sweeps)))
