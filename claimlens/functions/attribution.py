@@ -3,6 +3,9 @@
 ``ranked`` is an array of structs (feature, value, direction, rank) in order of
 absolute value; ties keep the original order. ``claims`` is an array of structs
 (feature, direction, rank, magnitude, direction_evidence) in stated order.
+
+Plans open these arrays by ``inline_outer`` and drop the empty row: ``inline`` would
+add a filter on the array's size, for which the optimizer makes the array again.
 """
 
 from __future__ import annotations

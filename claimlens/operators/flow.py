@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions import attribution as A
+from claimlens.plans.parallel import deal_out
 from claimlens.sources import load
 
 FEATURES = ("quantity", "price", "discount", "tax")
@@ -94,4 +95,4 @@ def with_claims(df: DataFrame) -> DataFrame:
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with attribution and claims."""
-    return with_claims(with_attribution(flow(spark, sf_dir)))
+    return with_claims(with_attribution(deal_out(flow(spark, sf_dir))))

@@ -72,7 +72,7 @@ def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "llm_passes").filter("annotator = 'PASS_A_V2'").select("item_id", F.explode("claims").alias("c"))
     said = p.filter(F.col("c.dir").isin("+", "-")).groupBy("item_id", F.col("c.feature").alias("feature")).agg(F.max("c.dir").alias("dir"))
     u = both(spark, sf_dir).join(said, ["item_id", "feature"], "left")
-    gold = F.inline(F.array(F.struct(F.lit("agreed").alias("variant"), F.when(F.col("a") == F.col("b"), F.col("a")).alias("gold")), F.struct(F.lit("first").alias("variant"), F.col("a").alias("gold")), F.struct(F.lit("second").alias("variant"), F.col("b").alias("gold"))))
+    gold = F.inline_outer(F.array(F.struct(F.lit("agreed").alias("variant"), F.when(F.col("a") == F.col("b"), F.col("a")).alias("gold")), F.struct(F.lit("first").alias("variant"), F.col("a").alias("gold")), F.struct(F.lit("second").alias("variant"), F.col("b").alias("gold"))))
     g = u.select("dir", gold)
     return g.groupBy("variant").agg(F.count_if(F.col("dir") == F.col("gold")).alias("tp"), F.count("dir").alias("predicted"), F.count_if(F.col("gold").isin("+", "-")).alias("wanted"))
 
@@ -142,7 +142,7 @@ def st_17_fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = numbers.select("i", F.sum(F.when(F.col("i") > 0, F.log("i")).otherwise(0.0)).over(Window.partitionBy(F.lit(1)).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
     a, b, c, d, x = (F.col(k) for k in "abcdx")
     plus, minus = (a + b, c + d, a + c, b + d), (size, x, a + b - x, a + c - x, d - a + x)
-    terms = rows.select("a", "x", F.inline(F.array(*[F.struct(e.alias("i"), F.lit(w).alias("w")) for e, w in [*((e, 1.0) for e in plus), *((e, -1.0) for e in minus)]])))
+    terms = rows.select("a", "x", F.inline_outer(F.array(*[F.struct(e.alias("i"), F.lit(w).alias("w")) for e, w in [*((e, 1.0) for e in plus), *((e, -1.0) for e in minus)]])))
     logs = terms.join(facts, "i").groupBy("a", "x").agg(F.sum(F.col("w") * F.col("f")).alias("lp"))
     seen = logs.filter("x = a").select(F.col("lp").alias("seen"))
     return logs.crossJoin(seen).filter("lp <= seen + 1e-7").agg(F.round(F.least(F.lit(1.0), F.sum(F.exp("lp"))), 6).alias("p"))

@@ -31,7 +31,7 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def per_class(cells: DataFrame) -> DataFrame:
     """CP-02: labels are all of truth and guess; recall is null without true rows."""
-    one = cells.select("n", F.inline(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(F.col("guess").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("g")))), (F.col("truth") == F.col("guess")).alias("hit"))
+    one = cells.select("n", F.inline_outer(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(F.col("guess").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("g")))), (F.col("truth") == F.col("guess")).alias("hit"))
     s = one.groupBy("label").agg(F.sum(F.col("n") * F.col("t")).alias("support"), F.sum(F.col("n") * F.col("g")).alias("guessed"), F.sum(F.when(F.col("hit"), F.col("n") * F.col("t")).otherwise(0)).alias("tp"))
     return s.select("label", "support", "tp", F.try_divide("tp", "support").alias("recall"), F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("guessed")), F.lit(0.0)).alias("f1"), (F.col("label") != BENIGN).alias("is_attack"))
 
@@ -189,19 +189,19 @@ def co_03_rank_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("co_04_omission", f"WITH {_CORRUPT_SQL}, {_TOP} SELECT feature, count(*) AS kept FROM t WHERE r1 <> 1 GROUP BY 1")
 def co_04_omission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audited(spark, sf_dir).select(C.omission(F.col("claims")).alias("m")).select(F.inline("m.claims"))
+    rows = audited(spark, sf_dir).select(C.omission(F.col("claims")).alias("m")).select(F.inline_outer("m.claims")).filter("feature IS NOT NULL")
     return rows.groupBy("feature").agg(F.count("*").alias("kept"))
 
 
 @registry.add("co_05_magnitude_inflation", f"WITH {_CORRUPT_SQL}, {_TOP} SELECT feature, round(sum(CASE WHEN mr = 1 THEN magnitude * 3.0 ELSE magnitude END), 4) AS weight FROM t GROUP BY 1")
 def co_05_magnitude_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audited(spark, sf_dir).select(C.magnitude_inflation(F.col("claims")).alias("m")).select(F.inline("m.claims"))
+    rows = audited(spark, sf_dir).select(C.magnitude_inflation(F.col("claims")).alias("m")).select(F.inline_outer("m.claims")).filter("feature IS NOT NULL")
     return rows.groupBy("feature").agg(F.round(F.sum("magnitude"), 4).alias("weight"))
 
 
 @registry.add("co_06_vague_substitution", f"WITH {_CORRUPT_SQL}, {_TOP} SELECT CASE WHEN r1 = 1 THEN 'some network feature' ELSE feature END AS feature, count(*) AS n FROM t GROUP BY 1")
 def co_06_vague_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audited(spark, sf_dir).select(C.vague_substitution(F.col("claims")).alias("m")).select(F.inline("m.claims"))
+    rows = audited(spark, sf_dir).select(C.vague_substitution(F.col("claims")).alias("m")).select(F.inline_outer("m.claims")).filter("feature IS NOT NULL")
     return rows.groupBy("feature").agg(F.count("*").alias("n"))
 
 
@@ -223,9 +223,9 @@ def st_03_battery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     faithful = F.transform("top", lambda r: C.claim(r["feature"], r["direction"], r["rank"], F.abs(r["value"]), F.lit("word"))).cast(A.CLAIM)
     base = rows.select("instance_id", "top", faithful.alias("faithful"))
     variants = F.array(*[F.struct(F.lit(n).alias("operator"), op(F.col("faithful"))["claims"].alias("claims")) for n, op in C.OPERATORS.items()])
-    made = base.select("top", "faithful", F.inline(variants))
+    made = base.select("top", "faithful", F.inline_outer(variants))
     kept = ("mention_precision", "mention_recall", "mention_f1", "dsa", "hfr", "arc")
     clean, bad = metric_columns(F.col("faithful"), F.col("top"), names()), metric_columns(F.col("claims"), F.col("top"), names())
-    long = made.select("operator", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), clean[m].alias("clean"), bad[m].alias("bad")) for m in kept])))
+    long = made.select("operator", F.inline_outer(F.array(*[F.struct(F.lit(m).alias("metric"), clean[m].alias("clean"), bad[m].alias("bad")) for m in kept])))
     worse = F.when(F.col("metric").isin(*RISES), F.col("bad") > F.col("clean")).otherwise(F.col("bad") < F.col("clean"))
     return long.groupBy("metric", "operator").agg(F.count("*").alias("n"), F.round(F.avg(worse.cast("double")), 6).alias("sensitivity"), F.round(F.avg("bad"), 6).alias("mean")).withColumn("blind", F.col("sensitivity") == 0)

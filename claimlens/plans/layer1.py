@@ -86,7 +86,7 @@ def l1_05_asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("l1_09_arc_pairs", f"WITH {MEASURED_SQL} SELECT x AS claimed_rank, y AS reference_rank, count(*) AS pairs FROM pairs GROUP BY 1, 2")
 def l1_09_arc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = audited(spark, sf_dir).select(F.inline(A.arc_pairs(F.col("claims"), F.col("top"))))
+    pairs = audited(spark, sf_dir).select(F.inline_outer(A.arc_pairs(F.col("claims"), F.col("top")))).filter("x IS NOT NULL")
     return pairs.groupBy(F.col("x").alias("claimed_rank"), F.col("y").alias("reference_rank")).agg(F.count("*").alias("pairs"))
 
 
@@ -111,19 +111,19 @@ def l1_12_compute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l1_13_gated_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural zeros are left out, not averaged: each metric has the gate that says it is defined (PF-12)."""
     m = measured(spark, sf_dir, ("dsa_asserted", "direction_assertion_rate", "arc", "arc_n_pairs"))
-    gated = m.select("class", F.inline(F.array(F.struct(F.lit("dsa_asserted").alias("metric"), F.col("dsa_asserted").alias("value"), (F.col("direction_assertion_rate") > 0).alias("kept")), F.struct(F.lit("arc").alias("metric"), F.col("arc").alias("value"), (F.col("arc_n_pairs") >= 2).alias("kept")))))
+    gated = m.select("class", F.inline_outer(F.array(F.struct(F.lit("dsa_asserted").alias("metric"), F.col("dsa_asserted").alias("value"), (F.col("direction_assertion_rate") > 0).alias("kept")), F.struct(F.lit("arc").alias("metric"), F.col("arc").alias("value"), (F.col("arc_n_pairs") >= 2).alias("kept")))))
     return gated.filter("kept").groupBy("metric", "class").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("gated_mean"))
 
 
 @registry.add("wn_01_ranked_features", f"WITH {PHI_SQL} SELECT class, rank, feature, direction, count(*) AS n FROM ranked GROUP BY ALL")
 def wn_01_ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audited(spark, sf_dir).select("class", F.inline("ranked"))
+    rows = audited(spark, sf_dir).select("class", F.inline_outer("ranked"))
     return rows.groupBy("class", "rank", "feature", "direction").agg(F.count("*").alias("n"))
 
 
 @registry.add("wn_02_ranked_topk", f"WITH {PHI_SQL} SELECT class, rank, count(*) AS n, round(sum(abs(phi)), 4) AS weight FROM ranked WHERE rank <= 2 GROUP BY 1, 2")
 def wn_02_ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audited(spark, sf_dir).select("class", F.inline(F.slice("ranked", 1, 2)))
+    rows = audited(spark, sf_dir).select("class", F.inline_outer(F.slice("ranked", 1, 2)))
     return rows.groupBy("class", "rank").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("value")), 4).alias("weight"))
 
 
@@ -131,12 +131,12 @@ def wn_02_ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn_05_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as ``present`` over long rows: claims on a feature of the reference list."""
     rows = audited(spark, sf_dir)
-    claims = rows.select("instance_id", F.inline("claims"))
-    return claims.join(rows.select("instance_id", F.inline("top")).select("instance_id", "feature"), ["instance_id", "feature"], "left_semi").groupBy("feature").agg(F.count("*").alias("claims"))
+    claims = rows.select("instance_id", F.inline_outer("claims")).filter("feature IS NOT NULL")
+    return claims.join(rows.select("instance_id", F.inline_outer("top")).select("instance_id", "feature"), ["instance_id", "feature"], "left_semi").groupBy("feature").agg(F.count("*").alias("claims"))
 
 
 @registry.add("jn_06_anti_join", f"WITH {CLAIMS_SQL} SELECT class, feature, count(*) AS claims FROM claims_ c ANTI JOIN (SELECT DISTINCT feature FROM phi) k ON k.feature = c.feature GROUP BY 1, 2")
 def jn_06_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audited(spark, sf_dir)
     known = spark.createDataFrame([(n,) for n in FEATURES], "feature string")
-    return rows.select("class", F.inline("claims")).join(known, "feature", "left_anti").groupBy("class", "feature").agg(F.count("*").alias("claims"))
+    return rows.select("class", F.inline_outer("claims")).filter("feature IS NOT NULL").join(known, "feature", "left_anti").groupBy("class", "feature").agg(F.count("*").alias("claims"))

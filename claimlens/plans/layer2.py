@@ -68,7 +68,7 @@ def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
                     apart["only_said"].alias("sufficiency_cited"),
                 )
             )
-    one = rows.select("instance_id", "class", F.inline(F.array(*sweeps)))
+    one = rows.select("instance_id", "class", F.inline_outer(F.array(*sweeps)))
     n = F.col("n_cited")
     for name in ("comprehensiveness_cited", "sufficiency_cited"):
         one = one.withColumn(f"{name}_per_feature", F.when(n > 0, F.col(name) / n).otherwise(F.lit(0.0)))
@@ -126,7 +126,7 @@ for _metric in METRICS:
 def l2_01_background_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audited(spark, sf_dir)
     made = F.array(*[F.struct(F.lit(k).alias("k"), score(A.erased(names(), F.col("x"), background(), A.features(F.slice("ranked", 1, k)))).alias("q")) for k in KS])
-    return rows.select("class", "p", F.inline(made)).groupBy("class", "k").agg(F.round(F.avg("p"), 6).alias("p_full"), F.round(F.avg("q"), 6).alias("p_erased"))
+    return rows.select("class", "p", F.inline_outer(made)).groupBy("class", "k").agg(F.round(F.avg("p"), 6).alias("p_full"), F.round(F.avg("q"), 6).alias("p_erased"))
 
 
 @registry.add("l2_04_detector_score", f"WITH {SWEPT_SQL} SELECT class, round(avg(p), 6) AS prob, round(avg({_LOGIT.format('p')}), 6) AS margin FROM scored GROUP BY 1")
