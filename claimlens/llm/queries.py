@@ -59,7 +59,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     A filter on ``defect`` itself would be pushed below the rules and work them all
     out a second time, nested; the position that a generator gives stays above it.
     """
-    every = pairs.checked(deal_out(load(spark, sf_dir, "llm_calls"))).select("call_id", F.posexplode_outer("defects").alias("at", "defect"))
+    every = pairs.checked(deal_out(load(spark, sf_dir, "llm_calls").select("call_id", "prompt", "text"))).select("call_id", F.posexplode_outer("defects").alias("at", "defect"))
     return every.filter("at = 0").select("call_id", "defect")
 
 
