@@ -35,7 +35,7 @@ def with_mentions(df: DataFrame, text: str, variants: str, out: str = "hits") ->
     overwritten so that shorter variants cannot match inside it. What a lambda
     reads is a column of its own, as nothing inside a lambda is shared.
     """
-    start = F.struct(norm(F.col(text)).alias("masked"), F.array().cast(HITS).alias("hits"))
+    start = F.struct(F.col("norm_").alias("masked"), F.array().cast(HITS).alias("hits"))
 
     def step(state: Column, v: Column) -> Column:
         at = F.position(v["variant"], state["masked"])
