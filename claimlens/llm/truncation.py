@@ -42,19 +42,20 @@ def longer_copies(values: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a column of hashes with nulls would turn to floats, which hold 53 bits only
         number, last, first = TaskContext.get().partitionId(), None, True
         for batch in batches:
             out = []
             for v, h in zip(batch["v"], batch["h"], strict=True):
                 if first:
-                    out.append((number, 0, v, h, None, None))
+                    out.append((number, 0, v, h, pd.NA, None))
                     first = False
                 elif v.startswith(last[0]) and len(v) > len(last[0]):
                     out.append((number, 1, None, last[1], h, v[len(last[0])]))
                 last = (v, h)
-            yield pd.DataFrame(out, columns=["part", "kind", "v", "h", "longer", "follows"])
+            yield pd.DataFrame(out, columns=["part", "kind", "v", "h", "longer", "follows"]).astype({"longer": "Int64"})
         if last is not None:
-            yield pd.DataFrame([(number, 2, last[0], last[1], None, None)], columns=["part", "kind", "v", "h", "longer", "follows"])
+            yield pd.DataFrame([(number, 2, last[0], last[1], pd.NA, None)], columns=["part", "kind", "v", "h", "longer", "follows"]).astype({"longer": "Int64"})
 
     ordered = values.select("v").distinct().select("v", F.xxhash64("v").alias("h")).repartitionByRange("v").sortWithinPartitions("v")
     found = ordered.mapInPandas(run, "part int, kind int, v string, h long, longer long, follows string").checkpoint()
