@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,15 +132,24 @@ def encode_texts(texts: list[str | None], vocab: Vocabulary, cache: dict[str, li
     return [[i for w in words for i in cache[w]] for words in cut]
 
 
-def blocks(texts: pd.Series, most: int = BLOCK_CHARS) -> Iterator[slice]:
-    """Slices of consecutive rows that hold about ``most`` code points each."""
-    sizes = texts.str.len().fillna(0).to_numpy().cumsum() if len(texts) else np.empty(0)
-    at = 0
-    while at < len(texts):
-        floor = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, floor + most, side="right")))
-        yield slice(at, end)
-        at = end
+def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows that hold about ``most`` code points each."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if i > start and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def list_array(ids: list[list[int]]) -> pa.ListArray:
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, sizes_only: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -150,14 +159,15 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, carried, strict=True)], F.col(f"`{text}`").alias("the_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, cache = vocabulary(path), {}
         for batch in batches:
-            for part in blocks(batch["the_text"]):
-                some = batch.iloc[part]
-                ids = encode_texts([x if isinstance(x, str) else None for x in some["the_text"]], vocab, cache)
-                yield some[carried].assign(the_ids=[len(x) for x in ids] if sizes_only else ids)
+            texts = batch.column(len(carried)).to_pylist()
+            for start, end in blocks(texts):
+                ids = encode_texts(texts[start:end], vocab, cache)
+                made = pa.array([len(x) for x in ids], pa.int64()) if sizes_only else list_array(ids)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(len(carried))), made], names=[*carried, "the_ids"])
 
     schema = ", ".join(f"{n} {k}" for n, k in zip(carried, kinds, strict=True)) + (", " if carried else "") + ("the_ids long" if sizes_only else "the_ids array<int>")
-    done = deal_out(rows).mapInPandas(run, schema)
+    done = deal_out(rows).mapInArrow(run, schema)
     return done.select(*[F.col(n).alias(c) for c, n in zip(kept, carried, strict=True)], F.col("the_ids").alias(out))
