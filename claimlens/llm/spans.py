@@ -108,21 +108,19 @@ def _blocks(batch: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Rows (class_id, anchor, at) of each different anchor of each text, ``at`` its first place."""
+    """Rows (class_id, anchor) of each different anchor of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _blocks(batch, "text"):
-                ids, found, places = [], [], []
+                ids, found = [], []
                 for key, text in zip(part["class_id"], part["text"], strict=True):
-                    at, h = winnow(code_points(text), seed, length)
-                    h, first = np.unique(h, return_index=True)
+                    h = np.unique(winnow(code_points(text), seed, length)[1])
                     ids.append(np.full(len(h), key))
                     found.append(h.view(np.int64))
-                    places.append(at[first])
-                yield pd.DataFrame({"class_id": np.concatenate(ids), "anchor": np.concatenate(found), "at": np.concatenate(places)})
+                yield pd.DataFrame({"class_id": np.concatenate(ids), "anchor": np.concatenate(found)})
 
-    return docs.mapInPandas(run, "class_id long, anchor long, at long")
+    return docs.mapInPandas(run, "class_id long, anchor long")
 
 
 def windows_around(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -187,9 +185,10 @@ class SharedSpans:
         texts = docs.select(F.col(key).alias("class_id"), F.col(text).alias("text")).filter(F.length("text") >= length)
         #: an id may stand on several rows; the class keeps one text of it
         self.texts = texts.join(firsts, "class_id", "left_semi")
-        found = anchors(deal_out(self.texts), length, seed)
-        sizes = found.groupBy("anchor").agg(F.count_distinct("class_id").alias("n")).filter("n > 1")
-        self.touched = found.select("class_id", "anchor").distinct().join(sizes, "anchor").checkpoint()
+        found = anchors(deal_out(self.texts), length, seed).checkpoint()
+        # counts are summed before they move; an id on two rows may count twice, which costs a row and no pair
+        sizes = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+        self.touched = found.join(sizes, "anchor").distinct().checkpoint()
 
     def cold_pairs(self) -> DataFrame:
         """Candidate pairs of classes from anchors that few classes share."""
