@@ -55,7 +55,7 @@ REFUSALS = (
     r"\bas an? (?:ai|language model|assistant)\b|against my guidelines|under my current guidelines",
     r"kann ich (?:leider )?nicht|darf ich (?:leider )?(?:nicht|keine)|muss ich (?:leider )?ablehnen|werde ich mich nicht|möchte ich nicht|nicht (?:helfen|beantworten|möglich|äußern)|lehne ich ab|tut mir leid",
     r"no puedo (?:ayudar|responder|hacer|dar|explicar|escribir|comentar)|no me está permitido|debo (?:rechazar|declinar)|prefiero no|no debo|lo siento|no voy a|me niego",
-    r"je ne (?:peux|puis|dois|vais) pas (?:vous )?(?:aider|répondre|expliquer|écrire|commenter|donner|fournir)|m['’]est pas permis|dois (?:refuser|décliner)|préfère (?:ne pas|éviter)|désolée?\b|je refuse",
+    r"je ne (?:peux|puis|dois|vais) pas (?:vous )?(?:aider|répondre|expliquer|écrire|commenter|donner|fournir)|m['’]est pas permis|dois (?:refuser|décliner)|préfère (?:ne (?:pas|rien)|éviter)|désolée?\b|je refuse",
 )
 
 

@@ -70,7 +70,7 @@ def names(spark):
 def test_typed_names(spark, names):
     want = {
         "UPLINK_GAP-MEAN": 1, "Ｕｐｌｉｎｋ Ｇａｐ Ｍｅａｎ": 1, "Uplink Gаp Mean": 1, "**Uplink Gap Average** (us)": 1, "Gap Mean (Uplink)": 1, "mean of the uplink gap": 1, "Upl Gap Mean": 1,
-        "Uplik Gpa Mean": 1, "Uplink Gap Mean = 12.5": 1, "Uplink Gap Men": 0, "Uplink Gap": 0, "Donwlink Gap Maen": 4, "the reset flag counts": 5, "setup dealy": 6, "encrypted file hash": 0, "x" * 5000: 0, "???": 0,
+        "Uplik Gpa Mean": 1, "Uplink Gap Mean = 12.5": 1, "Uplink Gap Men": 0, "Gap Mean (Downlink) = 3.86": 4, "downlinkgapaverage": 4, "Uplink Gap": 0, "Donwlink Gap Maen": 4, "the reset flag counts": 5, "setup dealy": 6, "encrypted file hash": 0, "x" * 5000: 0, "???": 0,
     }
     rows = spark.createDataFrame([(v, i, "clash") for i, v in enumerate([*want, *want, None, " ", "Uplink Gap Mean"])], "value string, row_id int, entry string").drop("entry")
     got = [(r["value"], r["entry"]) for r in mapping.map_rows(rows, names).collect()]
