@@ -43,12 +43,12 @@ def features(items: Column) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 0 when the whole is empty."""
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def present(claims: Column, top: Column) -> Column:
     """JN-05: claims on features of the reference list."""
-    return F.filter(claims, lambda c: F.array_contains(features(top), c["feature"]))
+    return F.filter(claims, lambda c: F.exists(top, lambda r: r["feature"] == c["feature"]))
 
 
 def mention_precision(claims: Column, top: Column) -> Column:
@@ -61,8 +61,9 @@ def mention_recall(claims: Column, top: Column) -> Column:
 
 
 def mention_f1(claims: Column, top: Column) -> Column:
-    p, r = mention_precision(claims, top), mention_recall(claims, top)
-    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    # an array of one element stands for a name: both parts are made once
+    parts = F.array(F.struct(mention_precision(claims, top).alias("p"), mention_recall(claims, top).alias("r")))
+    return F.transform(parts, lambda x: F.when(x["p"] + x["r"] > 0, 2 * x["p"] * x["r"] / (x["p"] + x["r"])).otherwise(F.lit(0.0)))[0]
 
 
 def asserted(claims: Column) -> Column:
@@ -97,7 +98,7 @@ def hfr(claims: Column, known: Column) -> Column:
 
 def arc_pairs(claims: Column, top: Column) -> Column:
     """L1-09: (claimed rank, rank in the reference list) in order of the claims."""
-    stated = F.filter(claims, lambda c: c["rank"].isNotNull() & F.array_contains(features(top), c["feature"]))
+    stated = F.filter(claims, lambda c: c["rank"].isNotNull() & F.exists(top, lambda r: r["feature"] == c["feature"]))
     return F.transform(stated, lambda c: F.struct(c["rank"].alias("x"), F.array_position(features(top), c["feature"]).cast("int").alias("y")))
 
 
