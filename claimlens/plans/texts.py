@@ -168,6 +168,19 @@ def pv_02_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firsts.groupBy("kind").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("digest"))
 
 
+_PARTS = (1, 17, 33, 49)
+_ALL_SUMS = " || ',' || ".join(f"sum(('0x' || substr(h, {i}, 16))::UBIGINT::HUGEINT)" for i in _PARTS)
+
+
+@registry.add("pv_02_content_hash_all", f"SELECT kind, count(*) AS n, sha256({_ALL_SUMS}) AS digest FROM (SELECT kind, sha256(doc_id || ':' || coalesce(sha256(text), '')) AS h FROM documents) GROUP BY 1")
+def pv_02_content_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of all documents of each kind: the hashes of id and text, summed in four parts, so in any order and as partial sums."""
+    hashed = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce(F.sha2("text", 256), F.lit(""))), 256)
+    rows = load(spark, sf_dir, "documents").select("kind", hashed.alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", i, 16), 16, 10).cast("decimal(20,0)")).cast("string") for i in _PARTS]
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *sums), 256).alias("digest"))
+
+
 @registry.add("pv_04_table_digest", None)
 def pv_04_table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free digest of a table: row count and sum of 64-bit row hashes, in one pass."""
