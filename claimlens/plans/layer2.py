@@ -11,6 +11,8 @@ from claimlens.registry import Registry
 
 registry = Registry()
 KS = (1, 3)
+#: the whole sweep of L2-13; the queries named ``_k135`` run it, the others the two that their SQL has
+SWEEP = (1, 3, 5)
 SPACES = ("prob", "margin")
 THRESHOLD = 0.1
 
@@ -39,21 +41,21 @@ def per_feature(value: Column, chosen: Column) -> Column:
     return F.when(F.size(chosen) > 0, value / F.size(chosen)).otherwise(F.lit(0.0))
 
 
-def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+def swept(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
     """L2-13: rows (instance_id, class, k, space, metric values), both families in one pass."""
     rows = audited(spark, sf_dir).select("instance_id", "class", "x", "ranked", "claims", F.col("p").alias("full"))
     # each score is made once and read in both spaces
-    for k in KS:
+    for k in ks:
         rows = rows.withColumn(f"top{k}", A.features(F.slice("ranked", 1, k))).withColumn(f"said{k}", A.cited(F.col("claims"), names(), k))
     scores = []
-    for k in KS:
+    for k in ks:
         for family in ("top", "said"):
             chosen = F.col(f"{family}{k}")
             scores.append(score(A.erased(names(), F.col("x"), background(), chosen)).alias(f"without_{family}{k}"))
             scores.append(score(A.erased(names(), F.col("x"), background(), F.array_except(names(), chosen))).alias(f"only_{family}{k}"))
-    rows = rows.select("instance_id", "class", "full", *[F.size(f"said{k}").alias(f"n{k}") for k in KS], *scores)
+    rows = rows.select("instance_id", "class", "full", *[F.size(f"said{k}").alias(f"n{k}") for k in ks], *scores)
     sweeps = []
-    for k in KS:
+    for k in ks:
         for space in SPACES:
             full = _space(F.col("full"), space)
             apart = {f"{v}_{f}": full - _space(F.col(f"{v}_{f}{k}"), space) for v in ("without", "only") for f in ("top", "said")}
@@ -108,27 +110,36 @@ sw AS (SELECT *, CASE WHEN n_cited > 0 THEN comprehensiveness_cited / n_cited EL
   CASE WHEN n_cited > 0 THEN sufficiency_cited / n_cited ELSE 0.0 END AS sufficiency_cited_per_feature FROM sw0)"""
 
 
-def _by_sweep(metric: str):
+SWEPT_ALL_SQL = SWEPT_SQL.replace("unnest([1, 3])", "unnest([1, 3, 5])")
+
+
+def _by_sweep(metric: str, ks: tuple[int, ...] = KS):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return swept(spark, sf_dir).groupBy("class", "k", "space").agg(F.count("*").alias("n"), F.round(F.avg(metric), 6).alias(metric))
+        return swept(spark, sf_dir, ks).groupBy("class", "k", "space").agg(F.count("*").alias("n"), F.round(F.avg(metric), 6).alias(metric))
 
     return query
 
 
 for _metric in METRICS:
     registry.add(f"{IDS[_metric]}_{_metric}", f"WITH {SWEPT_SQL} SELECT class, k, space, count(*) AS n, round(avg({_metric}), 6) AS {_metric} FROM sw GROUP BY 1, 2, 3")(_by_sweep(_metric))
+    registry.add(f"{IDS[_metric]}_{_metric}_k135", f"WITH {SWEPT_ALL_SQL} SELECT class, k, space, count(*) AS n, round(avg({_metric}), 6) AS {_metric} FROM sw GROUP BY 1, 2, 3")(_by_sweep(_metric, SWEEP))
 
 
 @registry.add(
     "l2_01_background_erasure",
     f"WITH {SWEPT_SQL} SELECT class, k, round(avg(p), 6) AS p_full, round(avg(pc), 6) AS p_erased FROM ps GROUP BY 1, 2",
 )
-def l2_01_background_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+def l2_01_background_erasure(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
     rows = audited(spark, sf_dir)
-    made = F.array(*[F.struct(F.lit(k).alias("k"), score(A.erased(names(), F.col("x"), background(), A.features(F.slice("ranked", 1, k)))).alias("q")) for k in KS])
+    made = F.array(*[F.struct(F.lit(k).alias("k"), score(A.erased(names(), F.col("x"), background(), A.features(F.slice("ranked", 1, k)))).alias("q")) for k in ks])
     return rows.select("class", "p", F.inline_outer(made)).groupBy("class", "k").agg(F.round(F.avg("p"), 6).alias("p_full"), F.round(F.avg("q"), 6).alias("p_erased"))
 
 
+@registry.add("l2_01_background_erasure_k135", f"WITH {SWEPT_ALL_SQL} SELECT class, k, round(avg(p), 6) AS p_full, round(avg(pc), 6) AS p_erased FROM ps GROUP BY 1, 2")
+def l2_01_background_erasure_k135(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l2_01_background_erasure(spark, sf_dir, SWEEP)
+
+
 @registry.add("l2_04_detector_score", f"WITH {SWEPT_SQL} SELECT class, round(avg(p), 6) AS prob, round(avg({_LOGIT.format('p')}), 6) AS margin FROM scored GROUP BY 1")
 def l2_04_detector_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audited(spark, sf_dir)
@@ -151,23 +162,36 @@ _ALL = f"SELECT k, space, metric, round(avg(value), 6) AS mean FROM (UNPIVOT (SE
 
 
 @registry.add("l2_12_compute_all", f"WITH {SWEPT_SQL} {_ALL}")
-def l2_12_compute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = swept(spark, sf_dir).unpivot(["instance_id", "k", "space"], list(METRICS), "metric", "value")
+def l2_12_compute_all(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
+    long = swept(spark, sf_dir, ks).unpivot(["instance_id", "k", "space"], list(METRICS), "metric", "value")
     return long.groupBy("k", "space", "metric").agg(F.round(F.avg("value"), 6).alias("mean"))
 
 
+@registry.add("l2_12_compute_all_k135", f"WITH {SWEPT_ALL_SQL} {_ALL}")
+def l2_12_compute_all_k135(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l2_12_compute_all(spark, sf_dir, SWEEP)
+
+
 @registry.add("l2_13_sweep", f"WITH {SWEPT_SQL} SELECT k, space, count(*) AS n, count(DISTINCT class) AS classes FROM sw GROUP BY 1, 2")
 def l2_13_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swept(spark, sf_dir).groupBy("k", "space").agg(F.count("*").alias("n"), F.count_distinct("class").alias("classes"))
 
 
+@registry.add("l2_13_sweep_k135", f"WITH {SWEPT_ALL_SQL} SELECT k, space, count(*) AS n, count(DISTINCT class) AS classes, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM sw GROUP BY 1, 2")
+def l2_13_sweep_k135(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole sweep with the mean of every metric in it."""
+    # classes are counted from one row for each, else every row is opened once more for the distinct count
+    each = swept(spark, sf_dir, SWEEP).groupBy("k", "space", "class").agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in METRICS])
+    return each.groupBy("k", "space").agg(F.sum("n").alias("n"), F.count("class").alias("classes"), *[F.round(F.sum(m) / F.sum("n"), 6).alias(m) for m in METRICS])
+
+
 _WIDE = "SELECT k, metric, avg(abs(value)) FILTER (WHERE space = 'prob') AS a, avg(abs(value)) FILTER (WHERE space = 'margin') AS b, avg(CASE WHEN abs(value) <= 1e-9 THEN 1.0 ELSE 0.0 END) FILTER (WHERE space = 'prob') AS flat FROM (UNPIVOT (SELECT instance_id, k, space, comprehensiveness, sufficiency FROM sw) ON comprehensiveness, sufficiency INTO NAME metric VALUE value) GROUP BY 1, 2"
 
 
 @registry.add("l2_14_saturation_report", f"WITH {SWEPT_SQL} SELECT k, metric, round(a, 6) AS mean_abs_prob, round(b, 6) AS mean_abs_margin, round(flat, 6) AS flat_share, CASE WHEN a > 0 THEN round(b / a, 4) END AS ratio FROM ({_WIDE})")
-def l2_14_saturation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def l2_14_saturation_report(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
     """Mean absolute delta in both spaces, share of flat ones, ratio (null if all are flat)."""
-    long = swept(spark, sf_dir).unpivot(["instance_id", "k", "space"], ["comprehensiveness", "sufficiency"], "metric", "value")
+    long = swept(spark, sf_dir, ks).unpivot(["instance_id", "k", "space"], ["comprehensiveness", "sufficiency"], "metric", "value")
     size = F.abs("value")
     one = long.groupBy("k", "metric").agg(
         F.avg(F.when(F.col("space") == "prob", size)).alias("a"),
@@ -177,6 +201,11 @@ def l2_14_saturation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("k", "metric", F.round("a", 6).alias("mean_abs_prob"), F.round("b", 6).alias("mean_abs_margin"), F.round("flat", 6).alias("flat_share"), F.when(F.col("a") > 0, F.round(F.col("b") / F.col("a"), 4)).alias("ratio"))
 
 
+@registry.add("l2_14_saturation_report_k135", f"WITH {SWEPT_ALL_SQL} SELECT k, metric, round(a, 6) AS mean_abs_prob, round(b, 6) AS mean_abs_margin, round(flat, 6) AS flat_share, CASE WHEN a > 0 THEN round(b / a, 4) END AS ratio FROM ({_WIDE})")
+def l2_14_saturation_report_k135(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l2_14_saturation_report(spark, sf_dir, SWEEP)
+
+
 _CELL = "CASE WHEN c AND NOT s THEN 'load_bearing' WHEN c AND s THEN 'necessary_not_sufficient' WHEN NOT c AND NOT s THEN 'redundant' ELSE 'irrelevant' END"
 _CELLS = f"cells2 AS (SELECT class, {_CELL} AS cell FROM (SELECT class, comprehensiveness >= 0.1 AS c, sufficiency >= 0.1 AS s FROM sw WHERE k = 1 AND space = 'prob'))"
 CELLS = ("load_bearing", "redundant", "necessary_not_sufficient", "irrelevant")

@@ -1,6 +1,7 @@
 """Queries that must do the whole job: every document, every k, every metric."""
 
 from claimlens import catalog
+from claimlens.plans.layer2 import METRICS
 
 
 def test_content_hash_reads_every_document(spark, tmp_path):
@@ -16,3 +17,11 @@ def test_content_hash_reads_every_document(spark, tmp_path):
     assert whole != digest("last", [*rows[:-2], (19, "note", "en", "text x"), rows[-1]])
     assert whole != digest("empty", [*rows[:-1], (20, "note", "en", "")])
     assert whole != digest("swapped", [(0, "note", "en", "text 1"), (1, "note", "en", "text 0"), *rows[2:]])
+
+
+def test_the_sweep_holds_every_k_and_its_values(spark):
+    rows = catalog.queries()["l2_13_sweep_k135"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r["k"], r["space"]) for r in rows} == {(k, s) for k in (1, 3, 5) for s in ("prob", "margin")}
+    assert all(r[m] is not None for r in rows for m in METRICS)
+    one = catalog.queries()["l2_06_comprehensiveness_k135"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["k"] for r in one} == {1, 3, 5}
