@@ -1,17 +1,18 @@
 """Defects of prompt and response pairs, by ordered rules on built-in expressions.
 
 All rules stay in the JVM and look at one row each, so the plan is one scan
-without a shuffle; every triggered type comes out in ``defects`` in the order
-of the rules, and ``defect`` is the first.
+without a shuffle. Each rule is judged on its own and every triggered type comes
+out in ``defects`` in the order of the rules; ``defect`` is the first.
 
 Rules, in order:
 * ``empty``: nothing is left beside white space, invisible characters,
-  punctuation, markup or a role name.
+  punctuation, markup or a role name. Nothing is left then for other rules to judge.
 * ``copy``: most runs of four words of the answer stand in the prompt.
 * ``refusal``: a phrase that declines (four languages), or an answer that names
   none of the evidence and gives no number, where the prompt asks for an
-  explanation or a list.
-* ``truncated``: see :mod:`claimlens.llm.endings`.
+  explanation or a list. In a copy only a phrase that the prompt lacks declines.
+* ``truncated``: see :mod:`claimlens.llm.endings`. A copy that ends where a line of
+  the prompt ends is whole.
 * ``language``: the answer's function words are mainly of another language than
   the prompt asks for or, if it asks for none, is written in.
 
@@ -32,6 +33,8 @@ from claimlens.llm.endings import INVISIBLE, body, json_like, with_ending
 
 COPIED_SHARE = 0.55
 RUN = 4
+#: Letters and digits by which the end of a copy is looked up in the lines of the prompt.
+TAIL = 12
 #: Names of roles.
 ROLES = r"assistant|user|system|human|ai|bot|model|answer|response|reply|output|assistent|asistente|usuario|antwort|respuesta|réponse|utilisateur|nutzer"
 #: Function words that one of the languages has and the others lack.
@@ -86,6 +89,10 @@ def offered(text: Column, told: Column) -> Column:
     return (names & F.regexp_like(rest, F.lit(r"^(?:[\p{P}–—]|)$"))) | nothing
 
 
+def letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
 def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
@@ -143,21 +150,21 @@ def checked(calls: DataFrame, prompt: str = "prompt", text: str = "text") -> Dat
     three = with_ending(with_copied_share(two, "t", "p", ~F.col("sound") & ~F.col("json"), "share"), "t", "cut")
     phrase = F.lit(False)
     for x in REFUSALS:
-        phrase = phrase | F.regexp_like("low", F.lit(x))
+        phrase = phrase | (F.regexp_like("low", F.lit(x)) & ~(F.col("copy") & F.regexp_like(F.lower("p"), F.lit(x))))
     answer = ~F.col("sound") & ~F.col("json")
     named = F.exists("names", lambda x: F.contains(F.col("low"), x))
     four = (
         three.withColumn("empty", (F.length("left") == 0) & ~F.col("sound"))
         .withColumn("copy", ~F.col("empty") & answer & (F.col("share") >= COPIED_SHARE))
-        .withColumn("free", ~F.col("empty") & ~F.col("copy"))
         .withColumn("names", F.when(F.regexp_like("t", F.lit(r"\d")), F.array().cast("array<string>")).otherwise(evidence(F.col("p"))))
         .withColumn("explains", F.regexp_like("t", F.lit(r"\d")) | named)
-        .withColumn("declines", F.col("free") & answer & ~F.col("explains") & (~F.col("cut") | phrase))
+        .withColumn("declines", ~F.col("empty") & answer & ~F.col("explains") & ((~F.col("cut") & ~F.col("copy")) | phrase))
     )
     five = with_language(with_language(four, "t", "is"), "told", "written").withColumn("asked", F.coalesce(named_language(F.col("told")), F.col("written")))
     bare = F.col("sound") & F.regexp_like(body(F.col("t")), F.lit(r"^[\W_]*\p{L}+[\W_]*$|^\[\s*\]$"))
-    truncated = F.col("free") & ~F.col("declines") & F.col("cut") & ~bare
-    other = F.col("free") & ~F.col("json") & ~F.col("declines") & F.col("is").isNotNull() & F.col("asked").isNotNull() & (F.col("is") != F.col("asked"))
+    line_end = F.exists(F.split("p", "\n"), lambda x: (F.length(letters(x)) >= 4) & F.endswith(letters(F.col("t")), F.right(letters(x), F.lit(TAIL))))
+    truncated = ~F.col("empty") & F.col("cut") & ~bare & ~(F.col("copy") & line_end)
+    other = ~F.col("empty") & ~F.col("json") & F.col("is").isNotNull() & F.col("asked").isNotNull() & (F.col("is") != F.col("asked"))
     rules = (("empty", F.col("empty")), ("copy", F.col("copy")), ("refusal", F.col("declines")), ("truncated", truncated), ("language", other))
     every = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules]), lambda x: x.isNotNull())
     return five.select("row.*", every.alias("defects")).withColumn("defect", F.get("defects", F.lit(0)))

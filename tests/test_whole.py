@@ -1,6 +1,7 @@
 """Queries that must do the whole job: every document, every k, every metric."""
 
 from claimlens import catalog
+from claimlens.llm import pairs
 from claimlens.plans.layer2 import METRICS
 
 
@@ -25,3 +26,21 @@ def test_the_sweep_holds_every_k_and_its_values(spark):
     assert all(r[m] is not None for r in rows for m in METRICS)
     one = catalog.queries()["l2_06_comprehensiveness_k135"](spark, "/root/testdata/sf0.001").collect()
     assert {r["k"] for r in one} == {1, 3, 5}
+
+
+ASK = "Inputs:\nUplink Gap Mean=+0.50000; Reset Flag Count=-0.25000\nWrite a plain explanation that names each ranked input once and gives its direction."
+
+
+def test_each_defect_rule_is_judged_on_its_own(spark):
+    copied = ASK.splitlines()[-1]
+    cases = [
+        ("Dabei kann ich leider nicht helfen, weil das nicht mit der Aufgabe und dem Wert zu vereinbaren ist.", ["refusal", "language"]),
+        ("I'm sorry, but I can't help with th", ["refusal", "truncated"]),
+        (copied[:-20], ["copy", "truncated"]),
+        (copied, ["copy"]),
+        (copied.upper().replace(" ", "  "), ["copy"]),
+        ("```text\n\n```", ["empty"]),
+    ]
+    rows = [(i, ASK, t) for i, (t, _) in enumerate(cases)] + [(len(cases), copied + "\nAnswer in German.", copied)]
+    got = {r["call_id"]: (r["defects"], r["defect"]) for r in pairs.checked(spark.createDataFrame(rows, "call_id int, prompt string, text string")).collect()}
+    assert got == {i: (d, d[0]) for i, d in enumerate([d for _, d in cases] + [["copy", "language"]])}
