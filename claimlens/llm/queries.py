@@ -144,6 +144,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf_dir, "documents")).pairs()
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared passages themselves, as places in each document that has them."""
+    return spans.SharedSpans(load(spark, sf_dir, "documents")).found()
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return spans.SharedSpans(docs).shares(docs)
@@ -168,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
+    "p8_spans": p8_spans,
     "p8_shares": p8_shares,
 }
 

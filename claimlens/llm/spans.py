@@ -235,13 +235,29 @@ class SharedSpans:
         wide = across.filter("ia <> ib").select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b"))
         return inside.select(F.col("x.id").alias("doc_a"), F.col("y.id").alias("doc_b")).unionByName(wide).distinct()
 
-    def shares(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """For each row of ``docs``: its class, copies, characters and how many of them stand elsewhere too."""
+    def parts(self) -> DataFrame:
+        """Rows (class_id, lo, hi) of stretches of a class that other classes have too, from cold and hot anchors."""
         s = self.spans()
         inline = "inline(transform({0}, s -> struct(s.`from` AS lo, s.`to` AS hi)))"
         parts = s.select(F.col("a").alias("class_id"), F.expr(inline.format("spans_a"))).unionByName(s.select(F.col("b").alias("class_id"), F.expr(inline.format("spans_b"))))
-        parts = parts.unionByName(self.hot_windows().select("class_id", F.col("at").alias("lo"), (F.col("at") + self.length).alias("hi")))
-        covered = cover(parts, "class_id")
+        return parts.unionByName(self.hot_windows().select("class_id", F.col("at").alias("lo"), (F.col("at") + self.length).alias("hi")))
+
+    def found(self) -> DataFrame:
+        """Rows (doc_id, class_id, from, to) of the maximal shared spans of each document, in code points from 0, ``to`` left out.
+
+        A span is a longest run of neighbouring places at each of which a run of
+        ``length`` starts that stands in another document too; a text with an exact
+        copy is one span. Texts that overlap by less are spans of their own.
+        """
+        copied = self.members.filter("copies > 1").select("class_id").distinct()
+        whole = self.texts.join(copied, "class_id", "left_semi").select("class_id", F.lit(0).cast("long").alias("lo"), F.length("text").cast("long").alias("hi"))
+        spans = merged(self.parts().unionByName(whole), "class_id", self.length)
+        ids = self.members.select("class_id", F.col("id").alias("doc_id")).distinct()
+        return spans.join(ids, "class_id").select("doc_id", "class_id", F.col("lo").alias("from"), F.col("hi").alias("to"))
+
+    def shares(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """For each row of ``docs``: its class, copies, characters and how many of them stand elsewhere too."""
+        covered = cover(self.parts(), "class_id")
         rows = docs.select(F.col(key).alias("id"), F.length(text).cast("long").alias("n_chars"))
         known = self.members.dropDuplicates(["id"]).join(covered, "class_id", "left")
         full = F.when(F.coalesce("copies", F.lit(1)) > 1, F.col("n_chars")).otherwise(F.coalesce("shared", F.lit(0)))
@@ -249,6 +265,17 @@ class SharedSpans:
         return rows.join(known, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).alias("shared_share"))
 
 
+def merged(parts: DataFrame, key: str, length: int) -> DataFrame:
+    """Rows (key, lo, hi): intervals joined where the places at which their runs of ``length`` start are neighbours."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(key).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("lo") > F.col("reach") - length + 1, F.lit(True)).cast("int")
+    numbered = parts.withColumn("reach", reach).withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
 def cover(parts: DataFrame, key: str) -> DataFrame:
     """Length of the union of the intervals [lo, hi) of each key, without collecting them."""
     from pyspark.sql import Window

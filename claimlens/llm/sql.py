@@ -26,7 +26,19 @@ k AS (SELECT g.doc_id, g.h FROM g JOIN s ON g.h = s.h)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id
 """
 
-ORACLES = {"p1_days_joined": P1_DAYS_JOINED, "p8_found": P8_FOUND}
+#: Runs of neighbouring places whose 200 code points stand in another text too.
+P8_SPANS = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+g AS (SELECT doc_id, i, hash(substr(text, i::BIGINT, 200)) AS h
+      FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
+s AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g SEMI JOIN s ON g.h = s.h),
+c AS (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.text) AS class_id FROM d)
+SELECT r.doc_id, c.class_id, min(i) - 1 AS "from", max(i) + 199 AS "to"
+FROM r JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id, c.class_id, run
+"""
+
+ORACLES = {"p1_days_joined": P1_DAYS_JOINED, "p8_found": P8_FOUND, "p8_spans": P8_SPANS}
 
 
 def oracle_sql() -> dict[str, str]:

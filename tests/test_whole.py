@@ -1,7 +1,12 @@
 """Queries that must do the whole job: every document, every k, every metric."""
 
+import itertools
+import random
+
+import pytest
+
 from claimlens import catalog
-from claimlens.llm import pairs
+from claimlens.llm import pairs, spans
 from claimlens.plans.layer2 import METRICS
 
 
@@ -44,3 +49,26 @@ def test_each_defect_rule_is_judged_on_its_own(spark):
     rows = [(i, ASK, t) for i, (t, _) in enumerate(cases)] + [(len(cases), copied + "\nAnswer in German.", copied)]
     got = {r["call_id"]: (r["defects"], r["defect"]) for r in pairs.checked(spark.createDataFrame(rows, "call_id int, prompt string, text string")).collect()}
     assert got == {i: (d, d[0]) for i, d in enumerate([d for _, d in cases] + [["copy", "language"]])}
+
+
+@pytest.mark.parametrize("hot", [24, 1])
+def test_maximal_shared_spans_as_brute_force(spark, hot):
+    """With ``hot`` 1 every anchor takes the way of the hot ones, as boilerplate of many texts does."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abc \n🚨") for _ in range(rng.choice((19, 20, 21, 45, 70)))) for _ in range(12)]
+    noise = lambda: "".join(rng.choice("defgh") for _ in range(rng.randint(0, 30)))
+    docs = [(i, noise() + rng.choice(pool)[rng.randint(0, 9) :] + noise() + rng.choice(pool) + noise()) for i in range(80)]
+    docs += [(100 + i, "z" * 60) for i in range(3)] + [(200, None), (201, ""), (202, pool[3][:19]), (203, docs[0][1])]
+    made = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), length=20, seed=12, hot=hot)
+    owners = {}
+    for i, t in docs:
+        for at in range(len(t or "") - 19):
+            owners.setdefault(t[at : at + 20], set()).add(i)
+    want = set()
+    for i, t in docs:
+        starts = [at for at in range(len(t or "") - 19) if len(owners[t[at : at + 20]]) > 1]
+        for _, run in itertools.groupby(enumerate(starts), lambda x: x[1] - x[0]):
+            run = [at for _, at in run]
+            want.add((i, min(j for j, x in docs if x == t), run[0], run[-1] + 20))
+    got = [tuple(r) for r in made.found().collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(to - at > 40 for _, _, at, to in got)
