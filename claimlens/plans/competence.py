@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions import attribution as A
 from claimlens.functions import corruption as C
 from claimlens.operators.flow import CLAIMS_SQL, FLOW_SQL, audited, flow
 from claimlens.registry import Registry
+from claimlens.sources import shared_dir
 
 registry = Registry()
 BENIGN = "BENIGN"
@@ -209,23 +210,71 @@ def co_06_vague_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
 RISES = ("hfr", "sufficiency_cited", "sufficiency_cited_per_feature")
 
 
+#: The operators that a metric is designated to detect; an operator that no metric has is a blind spot.
+DESIGNATED = {"hfr": ("fabricated_feature", "vague_substitution"), "mention_precision": ("fabricated_feature",), "mention_recall": ("omission", "vague_substitution"), "dsa_asserted": ("sign_flip",), "arc": ("rank_inversion",)}
+SENSITIVITY = SPECIFICITY = 0.9
+
+
+def battery(counts: DataFrame) -> DataFrame:
+    """Verdicts from rows (metric, operator, score, n), with operator ``faithful`` for the clean claims.
+
+    The operating point is the largest Youden J of all corrupted against all clean
+    scores over the midpoints of neighbouring scores and one beyond each end, ties to
+    the lowest threshold; scores strictly on its bad side count as corrupted. AUC is
+    0.5 if one side is empty.
+    """
+    low, faithful = ~F.col("metric").isin(*RISES), F.col("operator") == "faithful"
+    h = counts.groupBy("metric", "score").agg(F.sum(F.when(faithful, 0).otherwise(F.col("n"))).alias("pos"), F.sum(F.when(faithful, F.col("n")).otherwise(0)).alias("neg"))
+    along, whole = Window.partitionBy("metric").orderBy("score"), Window.partitionBy("metric")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(c).over(w).alias(a) for c, w, a in (("pos", upto, "cp"), ("neg", upto, "cn"), ("pos", whole, "tp"), ("neg", whole, "tn"))]
+    s = h.select("metric", "score", "pos", "neg", F.lead("score").over(along).alias("up"), F.lag("score").over(along).alias("down"), *sums)
+
+    beyond = F.when(low, F.col("tn") - F.col("cn")).otherwise(F.col("cn") - F.col("neg"))
+    wins = F.sum(F.col("pos") * (beyond + F.col("neg") / 2.0)) / (F.max("tp") * F.max("tn"))
+    auc = s.groupBy("metric").agg(F.when((F.max("tp") > 0) & (F.max("tn") > 0), F.round(wins, 6)).otherwise(0.5).alias("auc"))
+
+    single = F.col("up").isNull() & F.col("down").isNull()
+    above = F.when(single, F.when(low, F.col("score"))).otherwise(F.coalesce((F.col("score") + F.col("up")) / 2, F.col("score") + 1))
+    first = F.when(F.col("down").isNull(), F.when(single, F.when(~low, F.col("score"))).otherwise(F.col("score") - 1))
+    # at a single score nothing lies on the bad side: below it where low is bad, above it else
+    under = F.when(single, F.lit(0)).otherwise(F.col("cp")), F.when(single, F.lit(0)).otherwise(F.col("cn"))
+    least = F.when(single, F.col("cp")).otherwise(F.lit(0)), F.when(single, F.col("cn")).otherwise(F.lit(0))
+    points = s.select("metric", "tp", "tn", F.inline(F.array(F.struct(above.alias("threshold"), under[0].alias("cp"), under[1].alias("cn")), F.struct(first.alias("threshold"), least[0].alias("cp"), least[1].alias("cn"))))).filter("threshold IS NOT NULL")
+    bad, good = F.when(low, F.col("cp")).otherwise(F.col("tp") - F.col("cp")), F.when(low, F.col("tn") - F.col("cn")).otherwise(F.col("cn"))
+    rated = points.select("metric", "threshold", F.coalesce(F.try_divide(bad, F.col("tp")), F.lit(0.0)).alias("pooled"), F.coalesce(F.try_divide(good, F.col("tn")), F.lit(0.0)).alias("specificity"))
+    j = rated.withColumn("youden", F.col("pooled") + F.col("specificity") - 1)
+    best = j.withColumn("rn", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc(F.round("youden", 12)), "threshold"))).filter("rn = 1")
+
+    hit = F.when(low, F.col("score") < F.col("threshold")).otherwise(F.col("score") > F.col("threshold"))
+    each = counts.filter(~faithful).join(F.broadcast(best.drop("rn", "pooled")), "metric").groupBy("metric", "operator", "threshold", "youden", "specificity")
+    rows = each.agg(F.sum("n").alias("n"), (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("sensitivity"), F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 6).alias("mean"))
+    mine = F.lit(False)
+    for metric, operators in DESIGNATED.items():
+        mine = mine | ((F.col("metric") == metric) & F.col("operator").isin(*operators))
+    judged = rows.withColumn("designated", mine).withColumn("reached", F.when(mine, (F.col("sensitivity") >= SENSITIVITY) & (F.col("specificity") >= SPECIFICITY)))
+    blind_spot = ~F.col("operator").isin(*{o for operators in DESIGNATED.values() for o in operators})
+    done = judged.withColumn("admissible", F.min("reached").over(whole)).join(F.broadcast(auc), "metric")
+    rounded = [F.round(c, 6).alias(c) for c in ("threshold", "youden", "specificity", "sensitivity")]
+    return done.select("metric", "operator", "n", *rounded, "auc", "mean", "designated", "reached", "admissible", (F.col("sensitivity") == 0).alias("blind"), blind_spot.alias("blind_spot"))
+
+
 @registry.add("st_03_battery_summary", None)
 def st_03_battery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each metric and corruption: how often the corrupted claims score strictly worse than the faithful ones.
+    """For each metric its operating point, AUC, specificity and verdict, and its sensitivity to each corruption at that point.
 
     Faithful claims are the ranking itself; all variants of a row are made beside
-    each other, so the battery is one scan and one small aggregate.
+    each other, so the battery is one scan and one histogram of few scores, kept once.
     """
     from claimlens.operators.flow import names
-    from claimlens.plans.layer1 import metric_columns
+    from claimlens.plans.layer1 import METRICS, metric_columns
 
+    shared_dir(spark)
     rows = audited(spark, sf_dir)
     faithful = F.transform("top", lambda r: C.claim(r["feature"], r["direction"], r["rank"], F.abs(r["value"]), F.lit("word"))).cast(A.CLAIM)
-    base = rows.select("instance_id", "top", faithful.alias("faithful"))
-    variants = F.array(*[F.struct(F.lit(n).alias("operator"), op(F.col("faithful"))["claims"].alias("claims")) for n, op in C.OPERATORS.items()])
-    made = base.select("top", "faithful", F.inline_outer(variants))
-    kept = ("mention_precision", "mention_recall", "mention_f1", "dsa", "hfr", "arc")
-    clean, bad = metric_columns(F.col("faithful"), F.col("top"), names()), metric_columns(F.col("claims"), F.col("top"), names())
-    long = made.select("operator", F.inline_outer(F.array(*[F.struct(F.lit(m).alias("metric"), clean[m].alias("clean"), bad[m].alias("bad")) for m in kept])))
-    worse = F.when(F.col("metric").isin(*RISES), F.col("bad") > F.col("clean")).otherwise(F.col("bad") < F.col("clean"))
-    return long.groupBy("metric", "operator").agg(F.count("*").alias("n"), F.round(F.avg(worse.cast("double")), 6).alias("sensitivity"), F.round(F.avg("bad"), 6).alias("mean")).withColumn("blind", F.col("sensitivity") == 0)
+    base = rows.select("top", faithful.alias("faithful"))
+    made = [F.struct(F.lit("faithful").alias("operator"), F.col("faithful").alias("claims")), *[F.struct(F.lit(n).alias("operator"), op(F.col("faithful"))["claims"].alias("claims")) for n, op in C.OPERATORS.items()]]
+    variants = base.select("top", F.inline_outer(F.array(*made)))
+    values = metric_columns(F.col("claims"), F.col("top"), names())
+    long = variants.select("operator", F.inline_outer(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(values[m], 12).alias("score")) for m in METRICS])))
+    return battery(long.groupBy("metric", "operator", "score").agg(F.count("*").alias("n")).checkpoint())

@@ -7,6 +7,7 @@ import pytest
 
 from claimlens import catalog
 from claimlens.llm import pairs, spans
+from claimlens.plans.competence import RISES, battery
 from claimlens.plans.layer2 import METRICS
 
 
@@ -72,3 +73,30 @@ def test_maximal_shared_spans_as_brute_force(spark, hot):
             want.add((i, min(j for j, x in docs if x == t), run[0], run[-1] + 20))
     got = [tuple(r) for r in made.found().collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(to - at > 40 for _, _, at, to in got)
+
+
+def test_battery_as_brute_force(spark):
+    rng = random.Random(3)
+    made = {(m, o): [rng.choice((0.0, 0.25, 0.5, 0.75, 1.0)) - (0.25 if o == "omission" else 0) for _ in range(30)] for m in ("dsa", "hfr", "mention_recall") for o in ("faithful", "omission", "vague_substitution")}
+    made |= {("arc", o): [1.0] * 9 for o in ("faithful", "rank_inversion")} | {("mention_precision", "fabricated_feature"): [0.5, 0.75]}
+    counts = spark.createDataFrame([(m, o, x, 1) for (m, o), values in made.items() for x in values], "metric string, operator string, score double, n long")
+    got = {(r["metric"], r["operator"]): r for r in battery(counts).collect()}
+    assert set(got) == {k for k in made if k[1] != "faithful"}
+    for (metric, operator), row in got.items():
+        clean = made.get((metric, "faithful"), [])
+        bad = [x for (m, o), values in made.items() if m == metric and o != "faithful" for x in values]
+        hit = (lambda x, t: x > t) if metric in RISES else (lambda x, t: x < t)
+        share = lambda values, t: sum(hit(x, t) for x in values) / len(values) if values else 0.0
+        good = lambda t: 1 - share(clean, t) if clean else 0.0
+        u = sorted({*clean, *bad})
+        best = max([u[0] - 1, *[(a + b) / 2 for a, b in itertools.pairwise(u)], u[-1] + 1] if len(u) > 1 else u, key=lambda t: (round(share(bad, t) + good(t), 12), -t))
+        auc = sum(1 if hit(b, c) else 0.5 * (b == c) for b in bad for c in clean) / (len(bad) * len(clean)) if bad and clean else 0.5
+        want = (best, share(bad, best) + good(best) - 1, auc, good(best), share(made[metric, operator], best))
+        assert tuple(row[c] for c in ("threshold", "youden", "auc", "specificity", "sensitivity")) == pytest.approx(want, abs=2e-6)
+
+
+def test_battery_summary_gives_verdicts(spark):
+    rows = {(r["metric"], r["operator"]): r for r in catalog.queries()["st_03_battery_summary"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == 9 * 6
+    assert rows["hfr", "fabricated_feature"]["admissible"] is True and rows["dsa", "sign_flip"]["admissible"] is None
+    assert all(r["blind_spot"] == (o == "magnitude_inflation") for (_, o), r in rows.items())
