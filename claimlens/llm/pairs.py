@@ -13,8 +13,9 @@ Rules, in order:
   explanation or a list. In a copy only a phrase that the prompt lacks declines.
 * ``truncated``: see :mod:`claimlens.llm.endings`. A copy that ends where a line of
   the prompt ends is whole.
-* ``language``: the answer's function words are mainly of another language than
-  the prompt asks for or, if it asks for none, is written in.
+* ``language``: most letters of the answer are of another script, or its function
+  words mainly of another language, than the prompt asks for or, if it asks for
+  none, is written in. An answer in another script is no refusal without a phrase.
 
 A verdict word that stands in capitals in the instructions (and ``[]`` where they
 ask for a list) is sound, with a reason after it or not. A refusal in other words
@@ -51,6 +52,19 @@ LANGUAGE_NAMES = {
     "es": "spanish|spanisch|spanischer|español|espanol|espagnol|castellano",
     "fr": "french|französisch|französischer|francés|frances|français|francais",
 }
+#: Scripts as regular expressions name them; Japanese is mostly told by kana beside Han.
+SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}", "han": r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}", "hangul": r"\p{IsHangul}", "devanagari": r"\p{IsDevanagari}", "thai": r"\p{IsThai}"}
+#: Names of languages of other scripts in the four languages.
+SCRIPT_NAMES = {
+    "cyrillic": "russian|russisch|ruso|russe|ukrainian|ukrainisch|ucraniano|ukrainien|bulgarian|bulgarisch|búlgaro|bulgare",
+    "greek": "greek|griechisch|griego|grec",
+    "arabic": "arabic|arabisch|árabe|arabe|persian|persisch|persa|persan",
+    "hebrew": "hebrew|hebräisch|hebreo|hébreu",
+    "han": "chinese|chinesisch|chino|chinois|japanese|japanisch|japonés|japonais",
+    "hangul": "korean|koreanisch|coreano|coréen",
+    "devanagari": "hindi",
+    "thai": "thai|tailandés|thaï",
+}
 #: Phrases that decline, in the four languages.
 REFUSALS = (
     r"\b(?:can ?no?t|can['’]t|unable to|not able to|won['’]t|will not|am not allowed to|may not|must not) (?:be )?(?:help|assist|comply|answer|comment|discuss|provide|produce|write|writing|explain|do (?:that|this)|share|talk|fulfil|continue|process|list|give)",
@@ -129,6 +143,22 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
     return ranked.withColumn(out, F.when((first["n"] >= 2) & (first["n"] > second["n"]), first["k"])).drop("words_", "counts_")
 
 
+def main_script(text: Column) -> Column:
+    """The script of most letters; counted only where a letter is not Latin, null without letters."""
+    counts = F.array(*[F.struct((F.length(text) - F.length(F.regexp_replace(text, f"[{x}]", ""))).alias("n"), F.lit(k).alias("k")) for k, x in SCRIPTS.items()])
+    most = F.array_max(counts)
+    return F.when(F.regexp_like(text, F.lit(r"[\p{L}&&[^\p{IsLatin}]]")), F.when(most["n"] > 0, most["k"])).when(F.regexp_like(text, F.lit(r"\p{L}")), F.lit("latin"))
+
+
+def asked_script(told: Column) -> Column:
+    """The script of the language that the instructions name last, else the one they are written in."""
+    every = {w: k for k, names in (*SCRIPT_NAMES.items(), *(("latin", n) for n in LANGUAGE_NAMES.values())) for w in names.split("|")}
+    words = F.filter(F.regexp_extract_all(F.lower(told), F.lit(r"\p{L}+"), 0), lambda x: x.isin(*every))
+    last = F.element_at(F.when(F.size(words) > 0, words), -1)
+    others = [F.when(last.isin(*w.split("|")), F.lit(k)) for k, w in SCRIPT_NAMES.items()]
+    return F.coalesce(*others, F.when(last.isNotNull(), F.lit("latin")), main_script(told))
+
+
 def named_language(told: Column) -> Column:
     """The language that the instructions name last."""
     every = {w: k for k, names in LANGUAGE_NAMES.items() for w in names.split("|")}
@@ -156,15 +186,19 @@ def checked(calls: DataFrame, prompt: str = "prompt", text: str = "text") -> Dat
     four = (
         three.withColumn("empty", (F.length("left") == 0) & ~F.col("sound"))
         .withColumn("copy", ~F.col("empty") & answer & (F.col("share") >= COPIED_SHARE))
+        .withColumn("script", main_script(F.col("t")))
+        .withColumn("asks", F.when(F.col("script").isNotNull(), asked_script(F.col("told"))))
+        .withColumn("foreign", F.coalesce(answer & ~F.col("empty") & (F.col("script") != F.col("asks")), F.lit(False)))
         .withColumn("names", F.when(F.regexp_like("t", F.lit(r"\d")), F.array().cast("array<string>")).otherwise(evidence(F.col("p"))))
         .withColumn("explains", F.regexp_like("t", F.lit(r"\d")) | named)
-        .withColumn("declines", ~F.col("empty") & answer & ~F.col("explains") & ((~F.col("cut") & ~F.col("copy")) | phrase))
+        .withColumn("declines", ~F.col("empty") & answer & ~F.col("explains") & ((~F.col("cut") & ~F.col("copy") & ~F.col("foreign")) | phrase))
     )
     five = with_language(with_language(four, "t", "is"), "told", "written").withColumn("asked", F.coalesce(named_language(F.col("told")), F.col("written")))
     bare = F.col("sound") & F.regexp_like(body(F.col("t")), F.lit(r"^[\W_]*\p{L}+[\W_]*$|^\[\s*\]$"))
     line_end = F.exists(F.split("p", "\n"), lambda x: (F.length(letters(x)) >= 4) & F.endswith(letters(F.col("t")), F.right(letters(x), F.lit(TAIL))))
     truncated = ~F.col("empty") & F.col("cut") & ~bare & ~(F.col("copy") & line_end)
-    other = ~F.col("empty") & ~F.col("json") & F.col("is").isNotNull() & F.col("asked").isNotNull() & (F.col("is") != F.col("asked"))
+    words = ~F.col("json") & F.col("is").isNotNull() & F.col("asked").isNotNull() & (F.col("is") != F.col("asked"))
+    other = ~F.col("empty") & (F.col("foreign") | F.coalesce(words, F.lit(False)))
     rules = (("empty", F.col("empty")), ("copy", F.col("copy")), ("refusal", F.col("declines")), ("truncated", truncated), ("language", other))
     every = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules]), lambda x: x.isNotNull())
     return five.select("row.*", every.alias("defects")).withColumn("defect", F.get("defects", F.lit(0)))

@@ -52,6 +52,16 @@ def test_each_defect_rule_is_judged_on_its_own(spark):
     assert got == {i: (d, d[0]) for i, d in enumerate([d for _, d in cases] + [["copy", "language"]])}
 
 
+def test_answers_in_another_script(spark):
+    cases = [
+        (ASK, "Среднее значение подняло оценку на 0.5.", ["language"]), (ASK, "Среднее значение подняло оценку.", ["language"]), (ASK, "平均值提高了分数。", ["language"]),
+        (ASK + "\nAnswer in Russian.", "Среднее значение Uplink Gap Mean подняло оценку на 0.5.", []), (ASK + "\nAnswer in Russian.", "Uplink Gap Mean raised the score by 0.50000.", ["language"]),
+        (ASK, "Uplink Gap Mean (Δ) raised the score by 0.50000.", []),
+    ]
+    df = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(cases)], "call_id int, prompt string, text string")
+    assert {r["call_id"]: r["defects"] for r in pairs.checked(df).collect()} == {i: d for i, (_, _, d) in enumerate(cases)}
+
+
 @pytest.mark.parametrize("hot", [24, 1])
 def test_maximal_shared_spans_as_brute_force(spark, hot):
     """With ``hot`` 1 every anchor takes the way of the hot ones, as boilerplate of many texts does."""
