@@ -151,8 +151,10 @@ def letters_apart(a: Column, b: Column) -> Column:
 def near(values: DataFrame, refs: DataFrame) -> DataFrame:
     """(value, entry, slips, distance) of the entries within reach of a string; ``values`` has (value, text)."""
     index = segments(refs)
-    sizes = F.sequence(F.lit(1), F.lit(8))
-    parts = values.filter(F.length("text").between(TINY - 2, 200)).select("value", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).select("value", "text", "at", F.explode(sizes).alias("size"))
+    # one row: the lengths of segments that occur, and the longest text within reach of a reference
+    reach = index.agg(F.collect_set(F.length("segment")).alias("sizes"), F.max(F.length("ref") + F.col("k")).alias("most"))
+    short = values.crossJoin(F.broadcast(reach)).filter(F.length("text").between(F.lit(TINY - 2), F.col("most")))
+    parts = short.select("value", "text", "sizes", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).select("value", "text", "at", F.explode("sizes").alias("size"))
     grams = parts.filter(F.col("at") + F.col("size") - 1 <= F.length("text")).select("value", "text", "at", F.expr("substring(text, at, size)").alias("segment"))
     met = grams.join(index, "segment").filter((F.abs(F.col("at") - F.col("start")) <= F.col("k")) & (F.abs(F.length("text") - F.length("ref")) <= F.col("k")))
     pairs = met.select("value", "text", "entry", "ref", "k").distinct()

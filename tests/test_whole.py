@@ -6,7 +6,7 @@ import random
 import pytest
 
 from claimlens import catalog
-from claimlens.llm import pairs, spans
+from claimlens.llm import mapping, pairs, spans
 from claimlens.plans.competence import RISES, battery
 from claimlens.plans.layer2 import METRICS
 
@@ -110,3 +110,14 @@ def test_battery_summary_gives_verdicts(spark):
     assert len(rows) == 9 * 6
     assert rows["hfr", "fabricated_feature"]["admissible"] is True and rows["dsa", "sign_flip"]["admissible"] is None
     assert all(r["blind_spot"] == (o == "magnitude_inflation") for (_, o), r in rows.items())
+
+
+@pytest.mark.parametrize("size", [29, 44, 45, 90, 230])
+def test_slips_in_long_names_are_found(spark, size):
+    rng = random.Random(size)
+    name = "".join(rng.choice("abcdefghijklm") for _ in range(size))
+    typed = name[: size // 2] + "x" + name[size // 2 + 1 :]
+    refs = spark.createDataFrame([(1, name), (2, name[::-1]), (3, "short")], "entry int, ref string")
+    got = mapping.near(spark.createDataFrame([("v", typed), ("w", "y" * size)], "value string, text string"), refs).collect()
+    assert [(r["value"], r["entry"], r["distance"]) for r in got] == [("v", 1, 1)]
+    assert mapping.near(spark.createDataFrame([("v", typed)], "value string, text string"), refs.limit(0)).count() == 0
