@@ -59,7 +59,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-07: claims of every explanation by the rules."""
+    """TX-03: claims of every explanation by the rules; TX-07, which takes a parsed extraction first, is not built."""
     rows = deal_out(load(spark, sf_dir, "explanations").select("explanation_id", "generator_id", F.coalesce("text", F.lit("")).alias("text")))
     found = X.with_mentions(rows.crossJoin(F.broadcast(variants(spark, sf_dir))), "text", "variants").drop("variants")
     return X.with_claims(found, "text", "hits")
