@@ -6,7 +6,6 @@ import random
 import pytest
 
 from claimlens import catalog
-from claimlens.llm import mapping, pairs, spans
 from claimlens.plans.competence import RISES, battery
 from claimlens.plans.layer2 import METRICS
 
@@ -34,57 +33,6 @@ def test_the_sweep_holds_every_k_and_its_values(spark):
     assert {r["k"] for r in one} == {1, 3, 5}
 
 
-ASK = "Inputs:\nUplink Gap Mean=+0.50000; Reset Flag Count=-0.25000\nWrite a plain explanation that names each ranked input once and gives its direction."
-
-
-def test_each_defect_rule_is_judged_on_its_own(spark):
-    copied = ASK.splitlines()[-1]
-    cases = [
-        ("Dabei kann ich leider nicht helfen, weil das nicht mit der Aufgabe und dem Wert zu vereinbaren ist.", ["refusal", "language"]),
-        ("I'm sorry, but I can't help with th", ["refusal", "truncated"]),
-        (copied[:-20], ["copy", "truncated"]),
-        (copied, ["copy"]),
-        (copied.upper().replace(" ", "  "), ["copy"]),
-        ("```text\n\n```", ["empty"]),
-    ]
-    rows = [(i, ASK, t) for i, (t, _) in enumerate(cases)] + [(len(cases), copied + "\nAnswer in German.", copied)]
-    got = {r["call_id"]: (r["defects"], r["defect"]) for r in pairs.checked(spark.createDataFrame(rows, "call_id int, prompt string, text string")).collect()}
-    assert got == {i: (d, d[0]) for i, d in enumerate([d for _, d in cases] + [["copy", "language"]])}
-
-
-def test_answers_in_another_script(spark):
-    cases = [
-        (ASK, "Среднее значение подняло оценку на 0.5.", ["language"]), (ASK, "Среднее значение подняло оценку.", ["language"]), (ASK, "平均值提高了分数。", ["language"]),
-        (ASK + "\nAnswer in Russian.", "Среднее значение Uplink Gap Mean подняло оценку на 0.5.", []), (ASK + "\nAnswer in Russian.", "Uplink Gap Mean raised the score by 0.50000.", ["language"]),
-        (ASK, "Uplink Gap Mean (Δ) raised the score by 0.50000.", []),
-    ]
-    df = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(cases)], "call_id int, prompt string, text string")
-    assert {r["call_id"]: r["defects"] for r in pairs.checked(df).collect()} == {i: d for i, (_, _, d) in enumerate(cases)}
-
-
-@pytest.mark.parametrize("hot", [24, 1])
-def test_maximal_shared_spans_as_brute_force(spark, hot):
-    """With ``hot`` 1 every anchor takes the way of the hot ones, as boilerplate of many texts does."""
-    rng = random.Random(5)
-    pool = ["".join(rng.choice("abc \n🚨") for _ in range(rng.choice((19, 20, 21, 45, 70)))) for _ in range(12)]
-    noise = lambda: "".join(rng.choice("defgh") for _ in range(rng.randint(0, 30)))
-    docs = [(i, noise() + rng.choice(pool)[rng.randint(0, 9) :] + noise() + rng.choice(pool) + noise()) for i in range(80)]
-    docs += [(100 + i, "z" * 60) for i in range(3)] + [(200, None), (201, ""), (202, pool[3][:19]), (203, docs[0][1])]
-    made = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), length=20, seed=12, hot=hot)
-    owners = {}
-    for i, t in docs:
-        for at in range(len(t or "") - 19):
-            owners.setdefault(t[at : at + 20], set()).add(i)
-    want = set()
-    for i, t in docs:
-        starts = [at for at in range(len(t or "") - 19) if len(owners[t[at : at + 20]]) > 1]
-        for _, run in itertools.groupby(enumerate(starts), lambda x: x[1] - x[0]):
-            run = [at for _, at in run]
-            want.add((i, min(j for j, x in docs if x == t), run[0], run[-1] + 20))
-    got = [tuple(r) for r in made.found().collect()]
-    assert len(got) == len(set(got)) and set(got) == want and any(to - at > 40 for _, _, at, to in got)
-
-
 def test_battery_as_brute_force(spark):
     rng = random.Random(3)
     made = {(m, o): [rng.choice((0.0, 0.25, 0.5, 0.75, 1.0)) - (0.25 if o == "omission" else 0) for _ in range(30)] for m in ("dsa", "hfr", "mention_recall") for o in ("faithful", "omission", "vague_substitution")}
@@ -110,14 +58,3 @@ def test_battery_summary_gives_verdicts(spark):
     assert len(rows) == 9 * 6
     assert rows["hfr", "fabricated_feature"]["admissible"] is True and rows["dsa", "sign_flip"]["admissible"] is None
     assert all(r["blind_spot"] == (o == "magnitude_inflation") for (_, o), r in rows.items())
-
-
-@pytest.mark.parametrize("size", [29, 44, 45, 90, 230])
-def test_slips_in_long_names_are_found(spark, size):
-    rng = random.Random(size)
-    name = "".join(rng.choice("abcdefghijklm") for _ in range(size))
-    typed = name[: size // 2] + "x" + name[size // 2 + 1 :]
-    refs = spark.createDataFrame([(1, name), (2, name[::-1]), (3, "short")], "entry int, ref string")
-    got = mapping.near(spark.createDataFrame([("v", typed), ("w", "y" * size)], "value string, text string"), refs).collect()
-    assert [(r["value"], r["entry"], r["distance"]) for r in got] == [("v", 1, 1)]
-    assert mapping.near(spark.createDataFrame([("v", typed)], "value string, text string"), refs.limit(0)).count() == 0
