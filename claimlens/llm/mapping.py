@@ -5,25 +5,32 @@ so a value that a third of the rows carry costs one mapping; the join back leave
 a hot value to Spark's skew handling, or broadcasts the mapping only under the
 session's size threshold.
 
-Steps, each for the values the step before left over:
-1. folding: full-width, styled and look-alike letters become ASCII, invisible
-   ones go; case, punctuation and spacing do not count (``squeezed``);
-2. the set of words: order, filler words, synonyms of statistics and
-   abbreviations (a prefix that fits one word of the list only), with and without
-   a trailing remark in brackets;
-3. edits by the pigeonhole: a reference string that may take ``k`` edits is cut
-   into ``k + 1`` segments, one of which must stand unharmed in the value, at
-   most ``k`` places away. Segments and positional substrings of the value meet
-   by an equality join; the pairs are verified by the built-in ``levenshtein``.
-   A swap of neighbours counts as one slip: slips = max(letters that differ,
-   ceil(distance / 2)).
+Every entry comes out of one pigeonhole join on strings that both sides are
+rewritten to first:
+* ``tight``: full-width, styled and look-alike letters become ASCII, invisible
+  ones go; case, punctuation and spacing do not count (``squeezed``);
+* ``sorted``, ``bare`` and ``ordered``: the words, sorted or as they stand, without
+  fillers, with synonyms of statistics and abbreviations (a prefix that fits one
+  word of the list only) as meant; ``bare`` and ``ordered`` leave out a trailing
+  remark in brackets.
+A reference string that may take ``k`` edits is cut into ``k + 1`` segments, one of
+which must stand unharmed in the value, near its place. Segments and positional
+substrings of the values meet by an equality join on (edits, length of the
+reference, number of the segment, substring), so that place and length are in the
+key; only the lengths and sizes that the list has are made, however long. The
+pairs are verified by the built-in ``levenshtein``. A swap of neighbours counts
+as one slip: slips = max(letters that differ, ceil(distance / 2)).
+
+Among the entries within reach an equal ``tight`` goes before equal words, these
+before equal words without a remark, these before edits.
 
 A value gets an entry only if exactly one entry is best; a tie or no match gives
 0. Values without an entry come out of an anti-join.
 
 Defined results: null and blank values are no cases; a value equal to a name of
 the list is no case; names that two entries share single out none; empty tables
-give no rows; very long values simply match nothing.
+give no rows; texts longer than the longest reference string and its edits match
+nothing, since none is within reach.
 """
 
 from __future__ import annotations
@@ -123,22 +130,32 @@ def with_words(df: DataFrame, value: str, table: DataFrame, by: list[str], prefi
     return each.select(*by, F.array_join(in_order, "").alias(prefix + "ordered"), F.array_join(F.sort_array(in_order), " ").alias(prefix + "sorted"))
 
 
-def only(df: DataFrame, by: str) -> DataFrame:
-    """(by, entry) where ``by`` names one entry only."""
-    return df.filter(F.col(by) != "").groupBy(by).agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("n")).filter("n = 1").drop("n")
-
-
 def slips_allowed(length: Column) -> Column:
     return F.when(length < TINY, 0).when(length < SHORT, 1).otherwise(MAX_SLIPS)
 
 
 def segments(refs: DataFrame) -> DataFrame:
-    """Rows (entry, ref, k, segment, start): each string cut into k + 1 segments, k = 2 * slips."""
-    k = 2 * slips_allowed(F.length("ref"))
-    cut = refs.filter(F.length("ref") >= TINY).withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    edge = lambda i: F.floor(F.length("ref") * i / (F.col("k") + 1)).cast("int")
-    placed = cut.withColumn("start", edge(F.col("i")) + 1).withColumn("size", edge(F.col("i") + 1) - edge(F.col("i")))
-    return placed.select("entry", "ref", "k", "start", F.expr("substring(ref, start, size)").alias("segment"))
+    """Rows (ref, k, size_of, i, start, size): each string cut into k + 1 segments; strings without ``k`` take 2 * slips."""
+    k = F.col("k") if "k" in refs.columns else 2 * slips_allowed(F.length("ref"))
+    cut = refs.select("ref", k.alias("k"), F.length("ref").alias("size_of")).filter("size_of > 0").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    edge = lambda i: F.floor(F.col("size_of") * i / (F.col("k") + 1)).cast("int")
+    return cut.select("ref", "k", "size_of", "i", (edge(F.col("i")) + 1).alias("start"), (edge(F.col("i") + 1) - edge(F.col("i"))).alias("size"))
+
+
+def probes(index: DataFrame) -> DataFrame:
+    """Rows (n, k, size_of, i, size, lo, hi): where a text of ``n`` letters may hold segment ``i`` of strings of ``size_of``.
+
+    With d = n - size_of, a segment that stands unharmed after at most i edits and
+    before at most k - i more starts within i of its place and within k - i of its
+    place moved by d; some segment of every string within reach does so. The rows
+    are at most (2k + 1)(k + 1) for each length of a string, 45 for each letter of
+    the longest string, however many strings and texts there are.
+    """
+    shapes = index.select("k", "size_of", "i", "start", "size").distinct().withColumn("d", F.explode(F.sequence(-F.col("k"), F.col("k"))))
+    left = F.greatest(F.col("start") - F.col("i"), F.col("start") + F.col("d") - (F.col("k") - F.col("i")), F.lit(1))
+    right = F.least(F.col("start") + F.col("i"), F.col("start") + F.col("d") + (F.col("k") - F.col("i")), F.col("n") - F.col("size") + 1)
+    placed = shapes.withColumn("n", F.col("size_of") + F.col("d")).select("n", "k", "size_of", "i", "size", left.alias("lo"), right.alias("hi"))
+    return placed.filter("n > 0 AND lo <= hi")
 
 
 def letters_apart(a: Column, b: Column) -> Column:
@@ -148,55 +165,72 @@ def letters_apart(a: Column, b: Column) -> Column:
     return F.greatest(one(x, y), one(y, x))
 
 
+def within_reach(texts: DataFrame, refs: DataFrame) -> DataFrame:
+    """Rows (text, ref, k, distance) of each different ``text`` and the strings at most ``k`` edits away, by the pigeonhole."""
+    index = segments(refs)
+    placed = texts.select("text").distinct().withColumn("n", F.length("text")).join(F.broadcast(probes(index)), "n")
+    keys = ["k", "size_of", "i", "segment"]
+    grams = placed.select("text", "k", "size_of", "i", "size", F.explode(F.sequence("lo", "hi")).alias("at")).select("text", "k", "size_of", "i", F.expr("substring(text, at, size)").alias("segment"))
+    met = grams.join(index.select("ref", "k", "size_of", "i", F.expr("substring(ref, start, size)").alias("segment")), keys)
+    return met.select("text", "ref", "k").distinct().withColumn("distance", F.expr("levenshtein(text, ref, k)")).filter("distance >= 0")
+
+
 def near(values: DataFrame, refs: DataFrame) -> DataFrame:
     """(value, entry, slips, distance) of the entries within reach of a string; ``values`` has (value, text)."""
-    index = segments(refs)
-    # one row: the lengths of segments that occur, and the longest text within reach of a reference
-    reach = index.agg(F.collect_set(F.length("segment")).alias("sizes"), F.max(F.length("ref") + F.col("k")).alias("most"))
-    short = values.crossJoin(F.broadcast(reach)).filter(F.length("text").between(F.lit(TINY - 2), F.col("most")))
-    parts = short.select("value", "text", "sizes", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).select("value", "text", "at", F.explode("sizes").alias("size"))
-    grams = parts.filter(F.col("at") + F.col("size") - 1 <= F.length("text")).select("value", "text", "at", F.expr("substring(text, at, size)").alias("segment"))
-    met = grams.join(index, "segment").filter((F.abs(F.col("at") - F.col("start")) <= F.col("k")) & (F.abs(F.length("text") - F.length("ref")) <= F.col("k")))
-    pairs = met.select("value", "text", "entry", "ref", "k").distinct()
-    measured = pairs.withColumn("distance", F.levenshtein("text", "ref"))
-    close = measured.filter(F.col("distance") <= F.col("k"))
     slips = F.greatest(letters_apart(F.col("text"), F.col("ref")), F.ceil(F.col("distance") / 2).cast("int"))
-    return close.withColumn("slips", slips).filter(F.col("slips") <= slips_allowed(F.length("ref"))).select("value", "entry", "slips", "distance")
+    close = within_reach(values, refs).withColumn("slips", slips).filter(F.col("slips") * 2 <= F.col("k"))
+    return values.join(close, "text").join(refs, "ref").select("value", "entry", "slips", "distance")
+
+
+def forms_of(values: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows (value, text, tight, sorted, bare, edits): the strings of each different value and what they are used for."""
+    every = values.select("value").distinct().select("value", squeezed(F.col("value")).alias("tight"), F.array_join(words(without_number(F.col("value"))), " ").alias("whole"), F.array_join(words(without_remark(F.col("value"))), " ").alias("bare"))
+    spelt = every.select(F.explode(F.array_distinct(F.array("whole", "bare"))).alias("spelt")).distinct()
+    meant = with_words(spelt, "spelt", table, ["spelt"])
+    both = every.select("value", "tight", F.explode(F.array(F.struct(F.lit(False).alias("is_bare"), F.col("whole").alias("spelt")), F.struct(F.lit(True).alias("is_bare"), F.col("bare").alias("spelt")))).alias("x")).select("value", "tight", "x.*")
+    known = both.join(meant, "spelt")
+    in_set = F.concat(F.lit("="), F.replace("sorted", F.lit(" "), F.lit("")))
+    use = lambda text, tight, whole, bare, edits: F.struct(text.alias("text"), *[F.lit(x).alias(n) for x, n in ((tight, "tight"), (whole, "sorted"), (bare, "bare"), (edits, "edits"))])
+    of_bare = F.array(use(F.col("tight"), True, False, False, True), use(in_set, False, False, True, True), use(F.col("ordered"), False, False, False, True))
+    of_whole = F.array(use(in_set, False, True, False, False))
+    strings = known.select("value", F.explode(F.when(F.col("is_bare"), of_bare).otherwise(of_whole)).alias("x")).select("value", "x.*").filter("text NOT IN ('', '=')")
+    return strings.groupBy("value", "text").agg(*[F.bool_or(c).alias(c) for c in ("tight", "sorted", "bare", "edits")])
+
+
+def strings_of(names: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows (entry, ref, role, k): the strings of each entry; spellings with synonyms take no edits."""
+    refs = with_words(names, "name", table, ["entry", "name"])
+    fixed = refs.select("entry", F.explode(spellings(F.col("name"))).alias("ref"), F.lit("spelling").alias("role"), F.lit(0).alias("k"))
+    kinds = F.array(F.struct(squeezed(F.col("name")).alias("ref"), F.lit("tight").alias("role")), F.struct(F.col("ordered").alias("ref"), F.lit("ordered").alias("role")), F.struct(F.concat(F.lit("="), F.replace("sorted", F.lit(" "), F.lit(""))).alias("ref"), F.lit("sorted").alias("role")))
+    loose = refs.select("entry", F.explode(kinds).alias("x")).select("entry", "x.*").withColumn("k", 2 * slips_allowed(F.length("ref")))
+    return fixed.unionByName(loose).filter("ref NOT IN ('', '=')").distinct()
 
 
 def map_values(values: DataFrame, catalog: DataFrame, key: str = "feature_id", name: str = "feature", aliases: str = "aliases") -> DataFrame:
     """Rows (value, entry, how) for each different ``value``; entry 0 where none is singled out."""
     shared_dir(values.sparkSession)
-    names = names_of(catalog, key, name, aliases)
-    table = word_table(catalog.select(F.col(name).alias("name")).filter("name IS NOT NULL"))
-    refs = with_words(names, "name", table, ["entry", "name"]).withColumn("tight", squeezed(F.col("name"))).checkpoint()
-
-    every = values.select("value").distinct().withColumn("tight", squeezed(F.col("value"))).withColumn("bare", without_remark(F.col("value")))
-    both = every.select("value", F.explode(F.array(F.struct(F.lit(0).alias("form"), without_number(F.col("value")).alias("typed")), F.struct(F.lit(1).alias("form"), F.col("bare").alias("typed")))).alias("x")).select("value", "x.*")
-    forms = with_words(both, "typed", table, ["value", "form"]).groupBy("value").agg(
-        F.max(F.when(F.col("form") == 0, F.col("sorted"))).alias("sorted"),
-        F.max(F.when(F.col("form") == 1, F.col("sorted"))).alias("bare_sorted"),
-        F.max(F.when(F.col("form") == 1, F.col("ordered"))).alias("bare_ordered"),
-    )
-    looked = every.select("value", "tight").join(forms, "value")
-    tight = refs.select("entry", F.explode(spellings(F.col("name"))).alias("tight"))
-    for by, column in ((tight, "tight"), (refs.select("entry", F.col("sorted")), "sorted"), (refs.select("entry", F.col("sorted").alias("bare_sorted")), "bare_sorted")):
-        looked = looked.join(only(by, column).withColumnRenamed("entry", f"by_{column}"), column, "left")
-    looked = looked.checkpoint()
-
-    left = looked.filter(F.coalesce("by_tight", "by_sorted", "by_bare_sorted").isNull())
-    texts = left.select("value", F.explode(F.array_distinct(F.array("bare_ordered", "tight", F.concat(F.lit("="), F.regexp_replace("bare_sorted", " ", ""))))).alias("text"))
-    strings = refs.select("entry", F.explode(F.array_distinct(F.array("ordered", "tight", F.concat(F.lit("="), F.regexp_replace("sorted", " ", ""))))).alias("ref")).distinct()
-    close = near(texts, strings).groupBy("value", "entry").agg(F.min(F.struct("slips", "distance")).alias("cost"))
-    ranked = close.groupBy("value").agg(F.min("cost").alias("least"), F.collect_list(F.struct("cost", "entry")).alias("all"))
-    best = ranked.withColumn("best", F.filter("all", lambda x: x["cost"] == F.col("least")))
-    by_edits = best.filter(F.size("best") == 1).select("value", F.col("best")[0]["entry"].alias("by_edits"))
-
-    steps = (("by_tight", "spelling"), ("by_sorted", "words"), ("by_bare_sorted", "words"), ("by_edits", "edits"))
-    done = looked.join(by_edits, "value", "left")
-    how = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(x)) for c, x in steps])
-    named = done.select("value", F.coalesce(*[c for c, _ in steps]).cast("int").alias("entry"), how.alias("how")).filter("entry IS NOT NULL")
-    none = looked.join(named, "value", "left_anti").select("value", F.lit(0).alias("entry"), F.lit("none").alias("how"))
+    table = word_table(catalog.select(F.col(name).alias("name")).filter("name IS NOT NULL")).checkpoint()
+    strings = strings_of(names_of(catalog, key, name, aliases), table).checkpoint()
+    forms = forms_of(values, table).checkpoint()
+
+    met = within_reach(forms, strings.select("ref", "k"))
+    slips = F.greatest(letters_apart(F.col("text"), F.col("ref")), F.ceil(F.col("distance") / 2).cast("int"))
+    close = met.withColumn("slips", F.when(F.col("distance") == 0, 0).otherwise(slips)).filter(F.col("slips") * 2 <= F.col("k"))
+    pairs = forms.join(close, "text").join(strings, ["ref", "k"])
+    same = F.col("distance") == 0
+    step = F.when(F.col("tight") & same & F.col("role").isin("tight", "spelling"), 0).when(F.col("sorted") & same & (F.col("role") == "sorted"), 1).when(F.col("bare") & same & (F.col("role") == "sorted"), 2)
+    usable = pairs.withColumn("step", step).withColumn("edits", F.col("edits") & (F.col("role") != "spelling")).filter("step IS NOT NULL OR edits")
+    cost = F.min(F.when(F.col("edits"), F.struct("slips", "distance")))
+    each = usable.groupBy("value", "entry").agg(*[F.bool_or(F.coalesce(F.col("step") == i, F.lit(False))).alias(f"at{i}") for i in range(3)], cost.alias("cost"))
+    # a handful of entries within reach of one value; the counts and least keys are all that is kept of them
+    one = lambda c: F.struct(F.count_if(c).alias("n"), F.min(F.when(c, F.col("entry"))).alias("entry"))
+    found = each.groupBy("value").agg(*[one(F.col(f"at{i}")).alias(f"by{i}") for i in range(3)], F.sort_array(F.collect_list(F.when(F.col("cost").isNotNull(), F.struct("cost", "entry")))).alias("near"))
+    first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    edits = F.when(first.isNotNull() & ~F.coalesce(first["cost"] == second["cost"], F.lit(False)), first["entry"])
+    steps = [(F.when(F.col(f"by{i}.n") == 1, F.col(f"by{i}.entry")), how) for i, how in enumerate(("spelling", "words", "words"))] + [(edits, "edits")]
+    how = F.coalesce(*[F.when(c.isNotNull(), F.lit(x)) for c, x in steps])
+    named = found.select("value", F.coalesce(*[c for c, _ in steps]).cast("int").alias("entry"), how.alias("how")).filter("entry IS NOT NULL").checkpoint()
+    none = values.select("value").distinct().join(named, "value", "left_anti").select("value", F.lit(0).alias("entry"), F.lit("none").alias("how"))
     return named.unionByName(none)
 
 

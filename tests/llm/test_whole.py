@@ -68,3 +68,29 @@ def test_slips_in_long_names_are_found(spark, size):
     got = mapping.near(spark.createDataFrame([("v", typed), ("w", "y" * size)], "value string, text string"), refs).collect()
     assert [(r["value"], r["entry"], r["distance"]) for r in got] == [("v", 1, 1)]
     assert mapping.near(spark.createDataFrame([("v", typed)], "value string, text string"), refs.limit(0)).count() == 0
+
+
+def test_pigeonhole_finds_every_string_within_reach(spark):
+    rng = random.Random(17)
+
+    def edited(s, times):
+        for _ in range(times):
+            at = rng.randint(0, len(s))
+            s = rng.choice((s[:at] + rng.choice("abcx") + s[at:], s[: max(0, at - 1)] + s[at:], s[:at] + "c" + s[at + 1 :]))
+        return s
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    names = {"".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 4, 5, 6, 8, 9, 10, 11, 13, 20, 41, 60, 120, 300) for _ in range(3)}
+    typed = {edited(x, rng.randint(0, 5)) for x in names for _ in range(6)} - {""}
+    refs = spark.createDataFrame([(x,) for x in names], "ref string")
+    got = {(r["text"], r["ref"]): r["distance"] for r in mapping.within_reach(spark.createDataFrame([(x,) for x in typed] * 2, "text string"), refs).collect()}
+    reach = {x: 0 if len(x) < 5 else 2 if len(x) < 9 else 4 for x in names}
+    want = {(t, x): d for t in typed for x in names if abs(len(t) - len(x)) <= reach[x] and (d := apart(t, x)) <= reach[x]}
+    assert got == want and len(want) > 100
