@@ -8,14 +8,14 @@ Rules, in order:
 * ``empty``: nothing is left beside white space, invisible characters,
   punctuation, markup or a role name. Nothing is left then for other rules to judge.
 * ``copy``: most runs of four words of the answer stand in the prompt.
-* ``refusal``: a phrase that declines (four languages), or an answer that names
-  none of the evidence and gives no number, where the prompt asks for an
-  explanation or a list. In a copy only a phrase that the prompt lacks declines.
+* ``refusal``: a phrase that declines (four languages) in an answer that explains
+  nothing, so that it names none of the evidence to which the prompt gives a
+  number; other numbers do not count. In a copy only a phrase that the prompt lacks declines.
 * ``truncated``: see :mod:`claimlens.llm.endings`. A copy that ends where a line of
   the prompt ends is whole.
 * ``language``: most letters of the answer are of another script, or its function
   words mainly of another language, than the prompt asks for or, if it asks for
-  none, is written in. An answer in another script is no refusal without a phrase.
+  none, is written in.
 
 A verdict word that stands in capitals in the instructions (and ``[]`` where they
 ask for a list) is sound, with a reason after it or not. A refusal in other words
@@ -38,12 +38,12 @@ RUN = 4
 TAIL = 12
 #: Names of roles.
 ROLES = r"assistant|user|system|human|ai|bot|model|answer|response|reply|output|assistent|asistente|usuario|antwort|respuesta|réponse|utilisateur|nutzer"
-#: Function words that one of the languages has and the others lack.
+#: Articles, pronouns, prepositions, conjunctions and auxiliaries of the languages; some are words of two of them.
 FUNCTION_WORDS = {
-    "en": "the|and|with|of|to|is|was|were|for|by|it|its|which|from|that|this|are|because|since|not|there|whose|has|be|as|at|on|or|while|where|into|but|out",
-    "de": "der|die|das|den|dem|und|für|mit|von|zu|bei|ist|wurde|wurden|eine|einen|nicht|sich|auf|weil|lag|wert|gegen|auch|dass|aus|sie|ich|es|wird|vom|zum|zur|im|um|nennt|warum",
-    "es": "el|los|las|con|por|para|y|al|del|se|su|más|hacia|una|como|también|puntuación|lo|qué|cada|sin|este|esta|fue|peso|aporte",
-    "fr": "le|les|du|une|et|est|pour|avec|à|au|aux|dans|été|sur|par|vers|il|ne|pas|cette|ce|aussi|qui|je|pourquoi|chaque|poids|comme|plutôt",
+    "en": "the|a|an|in|on|as|no|so|and|with|of|to|is|was|were|for|by|it|its|which|from|that|this|these|those|are|because|since|not|there|whose|has|have|had|be|been|at|or|while|where|into|but|out|than|then|they|their|them|we|our|you|your|she|his|her|if|how|when|what|who|would|could|should|does|did|do|each|any|both|only|more|most|about|against|between|through",
+    "de": "der|die|das|des|in|an|am|so|es|und|den|dem|für|mit|von|zu|bei|ist|wurde|wurden|werden|eine|einen|einer|einem|ein|nicht|sich|auf|weil|auch|dass|aus|sie|ich|wird|vom|zum|zur|im|um|warum|wie|wenn|oder|aber|sind|hat|haben|kann|noch|nach|durch|über|unter|gegen|ohne|wir|ihr|er|dieser|diese|dieses|kein|keine|sein|seine|als|vor|zwischen",
+    "es": "el|la|los|las|de|en|a|un|que|es|no|son|si|o|e|con|por|para|y|al|del|se|su|sus|más|hacia|una|como|también|lo|qué|cada|sin|este|esta|esto|estos|fue|fueron|está|están|porque|pero|cuando|donde|muy|hasta|desde|ni|sino|ella|ellos|nosotros|usted|hay|sido|unos|unas|según|entre|sobre|contra",
+    "fr": "le|la|les|de|des|en|a|un|que|du|une|et|est|pour|avec|à|au|aux|dans|été|sur|par|vers|il|ils|elle|elles|on|ne|pas|se|si|son|sa|ses|cette|ce|ces|aussi|qui|je|pourquoi|chaque|comme|plutôt|nous|vous|mais|où|donc|car|sont|était|leur|leurs|sans|sous|entre|être|avoir|ont|même|très|parce|dont|ou|quand",
 }
 #: Names of the languages in these languages.
 LANGUAGE_NAMES = {
@@ -67,13 +67,15 @@ SCRIPT_NAMES = {
 }
 #: Phrases that decline, in the four languages.
 REFUSALS = (
-    r"\b(?:can ?no?t|can['’]t|unable to|not able to|won['’]t|will not|am not allowed to|may not|must not) (?:be )?(?:help|assist|comply|answer|comment|discuss|provide|produce|write|writing|explain|do (?:that|this)|share|talk|fulfil|continue|process|list|give)",
-    r"\b(?:must|have to|need to) (?:decline|refuse|pass)|\bi (?:decline|refuse)\b|off limits|falls? outside (?:what|of)|outside (?:my|the) (?:scope|remit)|rather not|not something i (?:do|can|may)|something i (?:won['’]t|cannot|can['’]t)|i have to leave aside|no (?:explanation|answer|list|text) will be given",
-    r"\bas an? (?:ai|language model|assistant)\b|against my guidelines|under my current guidelines",
-    r"kann ich (?:leider )?nicht|darf ich (?:leider )?(?:nicht|keine)|muss ich (?:leider )?ablehnen|werde ich mich nicht|möchte ich nicht|nicht (?:helfen|beantworten|möglich|äußern)|lehne ich ab|tut mir leid",
-    r"no puedo (?:ayudar|responder|hacer|dar|explicar|escribir|comentar)|no me está permitido|debo (?:rechazar|declinar)|prefiero no|no debo|lo siento|no voy a|me niego",
-    r"je ne (?:peux|puis|dois|vais) pas (?:vous )?(?:aider|répondre|expliquer|écrire|commenter|donner|fournir)|m['’]est pas permis|dois (?:refuser|décliner)|préfère (?:ne (?:pas|rien)|éviter)|désolée?\b|je refuse",
+    r"\b(?:can ?no?t|can['’]t|unable to|not able to|won['’]t|will not|am not (?:allowed|permitted) to|may not|must not) (?:be )?(?:able to )?(?:help|assist|comply|answer|comment|discuss|provide|produce|write|writing|explain|do (?:that|this|so)|share|talk|fulfill?|continue|process|list|give|engage|respond|support)",
+    r"\b(?:must|have to|need to) (?:decline|refuse|pass)|\bi (?:decline|refuse)\b|off limits|(?:falls?|lies|is) (?:outside|beyond) (?:what|of)|(?:outside|beyond) (?:my|the) (?:scope|remit)|rather not|prefer not to|not something i (?:do|can|may)|something i (?:won['’]t|cannot|can['’]t)|i have to leave aside|no (?:explanation|answer|list|text) will be given",
+    r"\bas an? (?:ai|language model|assistant)\b|(?:against|under) (?:my|our) (?:current )?(?:guidelines|policy|policies|rules)|\b(?:i['’]m|i am) (?:sorry|afraid)\b|^\W*sorry\b|\bi apologi[sz]e\b",
+    r"kann ich (?:leider )?(?:nicht|keine)|darf ich (?:leider )?(?:nicht|keine)|muss ich (?:leider )?ablehnen|werde ich (?:mich )?nicht|möchte ich (?:\w+ )?(?:nicht|keine)|nicht (?:helfen|beantworten|möglich|äußern|weiterhelfen)|lehne (?:ich|es) (?:\w+ )?ab|tut mir leid|ich bedaure|\bals (?:ki|sprachmodell)\b",
+    r"no (?:puedo|podemos) (?:ayudar|responder|hacer|dar|explicar|escribir|comentar|atender|cumplir)|no me está permitido|(?:debo|tengo que) (?:rechazar|declinar)|prefiero no|no debo|lo siento|lamento|no voy a|me niego|como modelo de lenguaje",
+    r"je ne (?:peux|puis|dois|vais|saurais) pas (?:vous )?(?:y )?(?:aider|répondre|expliquer|écrire|commenter|donner|fournir)|m['’]est pas permis|dois (?:refuser|décliner)|préfère (?:ne (?:pas|rien)|éviter)|désolée?\b|je (?:refuse|regrette)|en tant que modèle",
 )
+#: Titles of quoted material in the four languages.
+QUOTED = "Draft|Text|Passage|Excerpt|Document|Quote|Article|Message|Source text|Entwurf|Auszug|Dokument|Zitat|Artikel|Nachricht|Texto|Borrador|Fragmento|Documento|Cita|Artículo|Mensaje|Texte|Brouillon|Extrait|Citation"
 
 
 def left_over(text: Column) -> Column:
@@ -86,7 +88,7 @@ def left_over(text: Column) -> Column:
 
 def instructions(prompt: Column) -> Column:
     """The prompt without a quoted draft or text, which is no instruction."""
-    return F.regexp_replace(prompt, r"(?s)(?:^|\n)(?:Draft|Text|Entwurf|Texte|Texto|Borrador|Brouillon)\s?:\s*\n.*(?=\n\n|\n\p{L}+\s?:\s*$)", "\n")
+    return F.regexp_replace(prompt, rf"(?s)(?:^|\n)(?:{QUOTED})\s?:\s*\n.*(?=\n\n|\n\p{{L}}+\s?:\s*$)", "\n")
 
 
 def verdict_word(text: Column) -> Column:
@@ -130,17 +132,33 @@ def with_copied_share(df: DataFrame, text: str, prompt: str, where: Column, out:
     return runs.withColumn(out, F.when(F.col("theirs_").isNotNull(), F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))).drop("mine_", "theirs_", "runs_", "of_")
 
 
-def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_word_counts(df: DataFrame, text: str, out: str) -> DataFrame:
+    """How many function words of each language the text has, as an array of (n, k)."""
+    words = df.withColumn("words_", bare_words(F.col(text)))
+    return words.withColumn(out, word_counts("words_")).drop("words_")
+
+
+def bare_words(text: Column) -> Column:
+    """Lower-case words of letters that touch no digit."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}+(?![\p{L}\p{N}])"), 0)
+
+
+def word_counts(words: str) -> Column:
+    among = lambda of: F.size(F.filter(words, lambda x: x.isin(*of.split("|"))))
+    return F.array(*[F.struct(among(w).alias("n"), F.lit(k).alias("k")) for k, w in FUNCTION_WORDS.items()])
+
+
+def leading(counts: str) -> Column:
     """The language whose function words lead with two at least, else null."""
-    words = df.withColumn("words_", F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![\p{L}\p{N}])\p{L}+(?![\p{L}\p{N}])"), 0))
+    most = F.array_max(F.col(counts))
+    return F.when((most["n"] >= 2) & (F.size(F.filter(counts, lambda x: x["n"] == most["n"])) == 1), most["k"])
 
-    def among(of: str) -> Column:
-        return F.size(F.filter("words_", lambda x: x.isin(*of.split("|"))))
 
-    counts = F.array(*[F.struct(among(w).alias("n"), F.lit(k).alias("k")) for k, w in FUNCTION_WORDS.items()])
-    ranked = words.withColumn("counts_", F.reverse(F.array_sort(counts)))
-    first, second = F.col("counts_")[0], F.col("counts_")[1]
-    return ranked.withColumn(out, F.when((first["n"] >= 2) & (first["n"] > second["n"]), first["k"])).drop("words_", "counts_")
+def another_language(counts: str, asked: Column) -> Column:
+    """Whether some language has two function words at least, and more than the one asked for."""
+    own = F.array_max(F.transform(F.filter(counts, lambda x: x["k"] == asked), lambda x: x["n"]))
+    most = F.array_max(F.col(counts))["n"]
+    return (most >= 2) & (most > own)
 
 
 def main_script(text: Column) -> Column:
@@ -150,21 +168,16 @@ def main_script(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"[\p{L}&&[^\p{IsLatin}]]")), F.when(most["n"] > 0, most["k"])).when(F.regexp_like(text, F.lit(r"\p{L}")), F.lit("latin"))
 
 
-def asked_script(told: Column) -> Column:
-    """The script of the language that the instructions name last, else the one they are written in."""
-    every = {w: k for k, names in (*SCRIPT_NAMES.items(), *(("latin", n) for n in LANGUAGE_NAMES.values())) for w in names.split("|")}
-    words = F.filter(F.regexp_extract_all(F.lower(told), F.lit(r"\p{L}+"), 0), lambda x: x.isin(*every))
-    last = F.element_at(F.when(F.size(words) > 0, words), -1)
-    others = [F.when(last.isin(*w.split("|")), F.lit(k)) for k, w in SCRIPT_NAMES.items()]
-    return F.coalesce(*others, F.when(last.isNotNull(), F.lit("latin")), main_script(told))
+def last_named(words: str) -> Column:
+    """The last of the words that is the name of a language."""
+    every = [w for names in (*SCRIPT_NAMES.values(), *LANGUAGE_NAMES.values()) for w in names.split("|")]
+    named = F.filter(words, lambda x: x.isin(*every))
+    return F.element_at(F.when(F.size(named) > 0, named), -1)
 
 
-def named_language(told: Column) -> Column:
-    """The language that the instructions name last."""
-    every = {w: k for k, names in LANGUAGE_NAMES.items() for w in names.split("|")}
-    words = F.filter(F.regexp_extract_all(F.lower(told), F.lit(r"\p{L}+"), 0), lambda x: x.isin(*every))
-    last = F.element_at(F.when(F.size(words) > 0, words), -1)
-    return F.coalesce(*[F.when(last.isin(*w.split("|")), F.lit(k)) for k, w in LANGUAGE_NAMES.items()])
+def among_names(named: Column, of: dict[str, str]) -> Column:
+    """The key of ``of`` to which the name belongs."""
+    return F.coalesce(*[F.when(named.isin(*w.split("|")), F.lit(k)) for k, w in of.items()])
 
 
 def evidence(told: Column) -> Column:
@@ -182,22 +195,25 @@ def checked(calls: DataFrame, prompt: str = "prompt", text: str = "text") -> Dat
     for x in REFUSALS:
         phrase = phrase | (F.regexp_like("low", F.lit(x)) & ~(F.col("copy") & F.regexp_like(F.lower("p"), F.lit(x))))
     answer = ~F.col("sound") & ~F.col("json")
-    named = F.exists("names", lambda x: F.contains(F.col("low"), x))
     four = (
         three.withColumn("empty", (F.length("left") == 0) & ~F.col("sound"))
         .withColumn("copy", ~F.col("empty") & answer & (F.col("share") >= COPIED_SHARE))
         .withColumn("script", main_script(F.col("t")))
-        .withColumn("asks", F.when(F.col("script").isNotNull(), asked_script(F.col("told"))))
+        .withColumn("words", bare_words(F.col("told")))
+        .withColumn("named", last_named("words"))
+        # the language that the instructions name last, else the one they are written in
+        .withColumn("asks", F.when(F.col("script").isNotNull(), F.coalesce(among_names(F.col("named"), SCRIPT_NAMES), F.when(F.col("named").isNotNull(), F.lit("latin")), main_script(F.col("told")))))
         .withColumn("foreign", F.coalesce(answer & ~F.col("empty") & (F.col("script") != F.col("asks")), F.lit(False)))
-        .withColumn("names", F.when(F.regexp_like("t", F.lit(r"\d")), F.array().cast("array<string>")).otherwise(evidence(F.col("p"))))
-        .withColumn("explains", F.regexp_like("t", F.lit(r"\d")) | named)
-        .withColumn("declines", ~F.col("empty") & answer & ~F.col("explains") & ((~F.col("cut") & ~F.col("copy") & ~F.col("foreign")) | phrase))
+        .withColumn("names", F.when(answer & ~F.col("empty"), evidence(F.col("p"))))
+        .withColumn("explains", F.coalesce(F.exists("names", lambda x: F.contains(F.col("low"), x)), F.lit(False)))
+        # the phrases are looked for where nothing is explained, which few answers do
+        .withColumn("declines", ~F.col("empty") & answer & ~F.col("explains") & phrase)
     )
-    five = with_language(with_language(four, "t", "is"), "told", "written").withColumn("asked", F.coalesce(named_language(F.col("told")), F.col("written")))
+    five = with_word_counts(four, "t", "is").withColumn("written", word_counts("words")).withColumn("asked", F.coalesce(among_names(F.col("named"), LANGUAGE_NAMES), leading("written")))
     bare = F.col("sound") & F.regexp_like(body(F.col("t")), F.lit(r"^[\W_]*\p{L}+[\W_]*$|^\[\s*\]$"))
     line_end = F.exists(F.split("p", "\n"), lambda x: (F.length(letters(x)) >= 4) & F.endswith(letters(F.col("t")), F.right(letters(x), F.lit(TAIL))))
     truncated = ~F.col("empty") & F.col("cut") & ~bare & ~(F.col("copy") & line_end)
-    words = ~F.col("json") & F.col("is").isNotNull() & F.col("asked").isNotNull() & (F.col("is") != F.col("asked"))
+    words = ~F.col("json") & another_language("is", F.col("asked"))
     other = ~F.col("empty") & (F.col("foreign") | F.coalesce(words, F.lit(False)))
     rules = (("empty", F.col("empty")), ("copy", F.col("copy")), ("refusal", F.col("declines")), ("truncated", truncated), ("language", other))
     every = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules]), lambda x: x.isNotNull())

@@ -94,3 +94,19 @@ def test_pigeonhole_finds_every_string_within_reach(spark):
     reach = {x: 0 if len(x) < 5 else 2 if len(x) < 9 else 4 for x in names}
     want = {(t, x): d for t in typed for x in names if abs(len(t) - len(x)) <= reach[x] and (d := apart(t, x)) <= reach[x]}
     assert got == want and len(want) > 100
+
+
+def test_refusals_are_told_by_phrases_not_by_numbers(spark):
+    cases = [
+        (ASK, "Sorry, I cannot help with that request, see policy 42.", "refusal"),
+        (ASK, "I'm sorry, but I can't discuss these 3 inputs.", "refusal"),
+        (ASK, "Lo siento, no puedo ayudar con eso 24.", "refusal"),
+        (ASK, "The traffic pattern is bursty and clearly abnormal for this host.", None),
+        (ASK, "Nothing stood out, and the two inputs held each other in balance.", None),
+        (ASK, "The model cannot explain more than this: Uplink Gap Mean raised the score by 0.50000.", None),
+        (ASK, "Η μέση τιμή ανέβασε τη βαθμολογία κατά 0.5.", "language"),
+        (ASK, "La señal de la cuenta es la que aumenta la puntuación de 0.5.", "language"),
+        (ASK + "\nResponde en español.", "La señal de la cuenta es la que aumenta la puntuación de 0.5.", None),
+    ]
+    df = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(cases)], "call_id int, prompt string, text string")
+    assert {r["call_id"]: r["defect"] for r in pairs.checked(df).collect()} == {i: d for i, (_, _, d) in enumerate(cases)}
