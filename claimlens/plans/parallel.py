@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: Bytes from which on the reader itself makes a task of a file, as its default has it.
+SPLIT = 4 << 20
+
+
 def deal_out(df: DataFrame, factor: int = 2) -> DataFrame:
-    """``df`` over at least one task for each core.
+    """``df``, as read from files, over at least one task for each core.
 
     A small file is one split, which leaves all cores but one idle when the work
     on a row is costly. Only then are the rows dealt out anew, so what moves is
-    bounded by the number of cores times one split; large inputs stay as read.
+    bounded by ``SPLIT`` for each core; large inputs stay as read. The size is the
+    files' own, for which nothing is run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * factor)
+    read = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(read.apply(i).stats().sizeInBytes())) for i in range(read.size()))
+    return df.repartition(cores * factor) if size < cores * SPLIT else df
