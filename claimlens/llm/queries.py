@@ -154,6 +154,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(docs).shares(docs)
 
 
+def p8_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different texts that share a run, by the least id of each; copies are in ``p8_links``."""
+    return spans.SharedSpans(load(spark, sf_dir, "documents")).class_pairs().select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "copies_a", "copies_b")
+
+
+def p8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its class, copies and number of other texts that share a run with it."""
+    docs = load(spark, sf_dir, "documents")
+    return spans.SharedSpans(docs).links(docs)
+
+
 QUERIES: dict[str, Query] = {
     "p1_percentiles": p1_percentiles,
     "p1_overall": p1_overall,
@@ -175,6 +186,8 @@ QUERIES: dict[str, Query] = {
     "p8_found": p8_found,
     "p8_spans": p8_spans,
     "p8_shares": p8_shares,
+    "p8_class_pairs": p8_class_pairs,
+    "p8_links": p8_links,
 }
 
 
