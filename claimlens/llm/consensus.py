@@ -7,14 +7,18 @@ so few labels leave an annotator at what their type does and many let the own
 record speak. Variational updates alternate between the labels of the units and
 the matrices.
 
-Shape of the plan: votes are narrow rows kept hash-partitioned by unit, so a
-round is one pass without a shuffle of votes: parameters are looked up by
-annotator, log-likelihoods summed over the unit by a window, and only 20 sums
-for each annotator are shuffled. The annotators' parameters stay a distributed
-table (updated where they are, by numpy on batches of annotators); they are
-broadcast while there are at most ``BROADCAST_ANNOTATORS`` of them and joined
-otherwise. The driver sees the communities only: ``TYPES`` x 17 numbers from each
-task.
+Shape of the plan: the posterior of a unit depends on who gave which label only, so
+units with the same votes are reduced to one pattern with their number (told by
+two sums of hashes, which are summed before they move). Rounds run over the
+patterns, kept hash-partitioned and sorted in memory and released after the fit: a
+round is one pass without a shuffle of votes, in which parameters are looked up
+by annotator, log-likelihoods summed over the pattern by a window, and 20 sums for
+each annotator shuffled. Up to ``BROADCAST_ANNOTATORS`` annotators (counted first)
+the sums come to the driver and the parameters are broadcast. Beyond that they stay
+a distributed table, updated where it is by numpy on batches of annotators and
+joined over ``SALTS`` copies, so that an annotator of a third of all votes is many
+tasks; the driver then sees the communities only, ``TYPES`` x 17 numbers from each
+task. Rounds end when no parameter of the communities moves by ``TOLERANCE``.
 
 Defined results: one row for each item and candidate, also without any vote (the
 most frequent label then); repeated rows count once; of an annotator's exports
@@ -40,9 +44,11 @@ from claimlens.sources import shared_dir
 LABELS = ("+", "-", "unclear", "absent")
 SPELLINGS = {"+": ("+", "＋", "pos", "positive", "plus", "up", "increase", "raises"), "-": ("-", "−", "–", "—", "﹣", "－", "neg", "negative", "minus", "down", "decrease", "lowers"), "unclear": ("unclear", "?", "unsure", "unknown", "ambiguous"), "absent": ("absent", "none", "missing", "not mentioned", "not_mentioned", "n/a")}
 TYPES = 4
-ROUNDS = 12
+ROUNDS = 60
+TOLERANCE = 1e-3
 STRENGTH = 12.0
-BROADCAST_ANNOTATORS = 200_000
+BROADCAST_ANNOTATORS = 20_000
+SALTS = 16
 J = len(LABELS)
 SUMS = [f"n{v}_{z}" for v in range(J) for z in range(J)]
 SHARES = [f"s{z}" for z in range(J)]
@@ -123,6 +129,10 @@ class Communities:
         """New parameters from sums over annotators: (types,), (types, true, given), (J,)."""
         self.matrix, self.size, self.share = self.prior + counts, 1 + belonging, 1 + shares
 
+    def means(self) -> np.ndarray:
+        """All expected probabilities in one row, to see whether they still move."""
+        return np.concatenate([(self.matrix / self.matrix.sum(-1, keepdims=True)).ravel(), self.size / self.size.sum(), self.share / self.share.sum()])
+
     def log_share(self) -> np.ndarray:
         return digamma(self.share) - digamma(self.share.sum())
 
@@ -132,76 +142,123 @@ def _counts(batch: pd.DataFrame) -> np.ndarray:
     return batch[SUMS].to_numpy(dtype=float).reshape(-1, J, J).transpose(0, 2, 1)
 
 
-def _logs(stats: DataFrame, model: Communities) -> DataFrame:
-    """Rows (annotator, LOGS): expected log probability of each vote under each true label."""
+def _own_logs(counts: np.ndarray, model: Communities) -> np.ndarray:
+    """Expected log probability of each vote under each true label, as the columns ``LOGS``."""
+    own = model.own(counts)
+    logs = digamma(own) - digamma(own.sum(-1, keepdims=True))
+    return logs.transpose(0, 2, 1).reshape(-1, J * J)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = model.own(_counts(batch))
-            logs = digamma(own) - digamma(own.sum(-1, keepdims=True))
-            yield pd.DataFrame(logs.transpose(0, 2, 1).reshape(-1, J * J), columns=LOGS).assign(annotator=batch["annotator"].to_numpy())
 
-    return stats.mapInPandas(run, ", ".join(f"{c} double" for c in LOGS) + ", annotator string")
+def _sums(batch: pd.DataFrame, model: Communities) -> np.ndarray:
+    """What the communities need from these annotators."""
+    counts = _counts(batch)
+    b = model.belonging(counts)
+    return np.concatenate([b.sum(0), np.tensordot(b.T, counts, axes=1).ravel(), batch[SHARES].to_numpy(dtype=float).sum(0)])
 
 
-def _community_sums(stats: DataFrame, model: Communities) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    types = len(model.size)
+def _rated(batch: pd.DataFrame, model: Communities) -> pd.DataFrame:
+    share = model.share / model.share.sum()
+    counts = _counts(batch)
+    own, b = model.own(counts), model.belonging(counts)
+    total = own.sum(-1)
+    right = np.einsum("ajj->aj", own) / total
+    spread = np.sqrt(((share**2) * right * (1 - right) / (total + 1)).sum(1))
+    return pd.DataFrame({"annotator": batch["annotator"].to_numpy(), "votes": counts.sum((1, 2)).round().astype(int), "reliability": (right * share).sum(1), "deviation": spread, "community": b.argmax(1), "belonging": b.max(1)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = _counts(batch)
-            b = model.belonging(counts)
-            sums = np.concatenate([b.sum(0), np.tensordot(b.T, counts, axes=1).ravel(), batch[SHARES].to_numpy(dtype=float).sum(0)])
-            yield pd.DataFrame({"sums": [sums]})
 
-    total = np.zeros(types * (1 + J * J) + J)
-    for row in stats.mapInPandas(run, "sums array<double>").collect():
-        total += np.array(row["sums"])
-    return total[:types], total[types : types * (1 + J * J)].reshape(types, J, J), total[types * (1 + J * J) :]
+RATED = "annotator string, votes long, reliability double, deviation double, community long, belonging double"
+#: Two sums of 40-bit hashes over (annotator, vote).
+PATTERN = ["p1", "p2"]
+BASES = [f"b{z}" for z in range(J)]
 
 
 class Consensus:
     """A fitted model over ``votes`` (item_id, feature, annotator, vote)."""
 
-    def __init__(self, votes: DataFrame, rounds: int = ROUNDS, types: int = TYPES):
+    def __init__(self, votes: DataFrame, rounds: int = ROUNDS, types: int = TYPES, most: int = BROADCAST_ANNOTATORS):
         shared_dir(votes.sparkSession)
-        self.votes = votes.repartition("item_id", "feature").persist()
-        self.model = Communities(types)
-        start = self.votes.groupBy("annotator").agg(F.count("*").alias("n"))
-        self.stats = start.select("annotator", *[F.lit(0.0).alias(c) for c in (*SUMS, *SHARES)]).checkpoint()
-        self.few = self.stats.count() <= BROADCAST_ANNOTATORS
+        self.spark, self.model = votes.sparkSession, Communities(types)
+        mark = lambda i: F.sum(F.pmod(F.xxhash64("annotator", "vote", F.lit(i)), F.lit(1 << 40)))
+        counts = [F.count_if(F.col("vote") == v).alias(f"c{v}") for v in range(J)]
+        #: rows (item_id, feature, PATTERN, m votes, c0.. votes for each label)
+        self.units = votes.groupBy("item_id", "feature").agg(mark(1).alias("p1"), mark(2).alias("p2"), F.count("*").alias("m"), *counts).checkpoint()
+        kinds = self.units.groupBy(*PATTERN).agg(F.min(F.struct("item_id", "feature")).alias("u"), F.max("m").alias("m"), F.count("*").alias("times"))
+        of = votes.join(kinds.select("u.*", *PATTERN, "m", "times"), ["item_id", "feature"])
+        self.patterns = of.select(*PATTERN, "m", "times", "annotator", "vote").repartition(*PATTERN).sortWithinPartitions(*PATTERN).persist()
+        names = self.patterns.select("annotator").distinct()
+        self.few = names.count() <= most
+        nothing = names.select("annotator", *[F.lit(0.0).alias(c) for c in (*SUMS, *SHARES)])
+        self.stats = nothing.toPandas() if self.few else nothing.checkpoint()
         for _ in range(rounds):
-            self.stats = self._round().checkpoint()
-            self.model.renew(*_community_sums(self.stats, self.model))
+            before = self.model.means()
+            made = self._round()
+            self.stats = made.toPandas() if self.few else made.checkpoint()
+            self.model.renew(*self._community_sums())
+            if np.abs(self.model.means() - before).max() < TOLERANCE:
+                break
+        self.posteriors = self._scored().select(*PATTERN, *[f"q{z}" for z in range(J)]).dropDuplicates(PATTERN).checkpoint()
+        self.patterns.unpersist()
+
+    def _community_sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        model, types = self.model, len(self.model.size)
+        total = np.zeros(types * (1 + J * J) + J)
+        if self.few:
+            total += _sums(self.stats, model) if len(self.stats) else 0
+        else:
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    yield pd.DataFrame({"sums": [_sums(batch, model)]})
+
+            for row in self.stats.mapInPandas(run, "sums array<double>").collect():
+                total += np.array(row["sums"])
+        return total[:types], total[types : types * (1 + J * J)].reshape(types, J, J), total[types * (1 + J * J) :]
+
+    def _with_logs(self) -> DataFrame:
+        """``patterns`` with the columns ``LOGS`` of each vote's annotator and ``BASES``, the log shares of the labels.
+
+        The shares come as columns, since as constants they would have the code of every round compiled anew.
+        """
+        model, base = self.model, self.model.log_share()
+        kind = "annotator string, " + ", ".join(f"{c} double" for c in (*LOGS, *BASES))
+
+        def table(batch: pd.DataFrame) -> pd.DataFrame:
+            logs = pd.DataFrame(_own_logs(_counts(batch), model), columns=LOGS)
+            logs.insert(0, "annotator", batch["annotator"].to_numpy())
+            return logs.assign(**dict(zip(BASES, base.tolist(), strict=True)))
+
+        if self.few:
+            return self.patterns.join(F.broadcast(self.spark.createDataFrame(table(self.stats), kind)), "annotator")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield table(batch)
+
+        logs = self.stats.mapInPandas(run, kind).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return self.patterns.withColumn("salt", F.pmod("p1", F.lit(SALTS)).cast("int")).join(logs, ["annotator", "salt"]).drop("salt")
 
     def _scored(self) -> DataFrame:
-        """Votes with the posterior ``q0..`` of their unit and the number ``m`` of its votes."""
-        logs = _logs(self.stats, self.model)
-        met = self.votes.join(F.broadcast(logs) if self.few else logs, "annotator")
-        unit = Window.partitionBy("item_id", "feature")
-        base = self.model.log_share()
+        """Votes of the patterns with the posterior ``q0..`` of their unit."""
+        met = self._with_logs()
+        unit = Window.partitionBy(*PATTERN)
         for z in range(J):
             given = F.coalesce(*[F.when(F.col("vote") == v, F.col(f"e{v}_{z}")) for v in range(J)])
-            met = met.withColumn(f"g{z}", given)
-        scored = met.select("item_id", "feature", "annotator", "vote", F.count("*").over(unit).alias("m"), *[(F.sum(f"g{z}").over(unit) + float(base[z])).alias(f"l{z}") for z in range(J)])
+            met = met.withColumn(f"g{z}", given + F.col(f"b{z}") / F.col("m"))
+        kept = [*PATTERN, "m", "times", "annotator", "vote"]
+        scored = met.select(*kept, *[F.sum(f"g{z}").over(unit).alias(f"l{z}") for z in range(J)])
         top = F.greatest(*[f"l{z}" for z in range(J)])
-        raised = scored.select("item_id", "feature", "annotator", "vote", "m", *[F.exp(F.col(f"l{z}") - top).alias(f"x{z}") for z in range(J)])
+        raised = scored.select(*kept, *[F.exp(F.col(f"l{z}") - top).alias(f"x{z}") for z in range(J)])
         total = sum((F.col(f"x{z}") for z in range(1, J)), F.col("x0"))
-        return raised.select("item_id", "feature", "annotator", "vote", "m", *[(F.col(f"x{z}") / total).alias(f"q{z}") for z in range(J)])
+        return raised.select(*kept, *[(F.col(f"x{z}") / total).alias(f"q{z}") for z in range(J)])
 
     def _round(self) -> DataFrame:
-        sums = [F.sum(F.when(F.col("vote") == v, F.col(f"q{z}")).otherwise(0.0)).alias(f"n{v}_{z}") for v in range(J) for z in range(J)]
-        shares = [F.sum(F.col(f"q{z}") / F.col("m")).alias(f"s{z}") for z in range(J)]
+        sums = [F.sum(F.when(F.col("vote") == v, F.col(f"q{z}") * F.col("times")).otherwise(0.0)).alias(f"n{v}_{z}") for v in range(J) for z in range(J)]
+        shares = [F.sum(F.col(f"q{z}") * F.col("times") / F.col("m")).alias(f"s{z}") for z in range(J)]
         return self._scored().groupBy("annotator").agg(*sums, *shares)
 
     def labels(self, units: DataFrame) -> DataFrame:
         """One row for each unit: label, its probability, votes and the share of pairs of votes that agree."""
-        scored = self._scored()
-        one = scored.groupBy("item_id", "feature").agg(
-            F.count("*").alias("votes"),
-            *[F.first(f"q{z}").alias(f"q{z}") for z in range(J)],
-            *[F.count_if(F.col("vote") == v).alias(f"c{v}") for v in range(J)],
-        )
+        one = self.units.join(self.posteriors, PATTERN).withColumnRenamed("m", "votes")
         best = F.array_max(F.array(*[F.struct(F.col(f"q{z}").alias("q"), F.lit(-z).alias("at")) for z in range(J)]))
         names = F.array(*[F.lit(x) for x in LABELS])
         pairs = sum((F.col(f"c{v}") * (F.col(f"c{v}") - 1) for v in range(1, J)), F.col("c0") * (F.col("c0") - 1))
@@ -213,18 +270,14 @@ class Consensus:
     def annotators(self) -> DataFrame:
         """For each annotator: votes, expected accuracy with its deviation, and type."""
         model = self.model
-        share = model.share / model.share.sum()
+        if self.few:
+            return self.spark.createDataFrame(_rated(self.stats, model), RATED)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                counts = _counts(batch)
-                own, b = model.own(counts), model.belonging(counts)
-                total = own.sum(-1)
-                right = np.einsum("ajj->aj", own) / total
-                spread = np.sqrt(((share**2) * right * (1 - right) / (total + 1)).sum(1))
-                yield pd.DataFrame({"annotator": batch["annotator"].to_numpy(), "votes": counts.sum((1, 2)).round().astype(int), "reliability": (right * share).sum(1), "deviation": spread, "community": b.argmax(1), "belonging": b.max(1)})
+                yield _rated(batch, model)
 
-        return self.stats.mapInPandas(run, "annotator string, votes long, reliability double, deviation double, community long, belonging double")
+        return self.stats.mapInPandas(run, RATED)
 
 
 def alpha(votes: DataFrame) -> DataFrame:
@@ -236,4 +289,3 @@ def alpha(votes: DataFrame) -> DataFrame:
     observed = 1 - F.try_divide("same", "n")
     expected = 1 - F.try_divide(chance, F.col("n") * (F.col("n") - 1))
     return sums.select("units", F.col("n").alias("votes"), (1 - observed).alias("agreement"), (1 - F.try_divide(observed, expected)).alias("alpha"))
-

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from claimlens.llm import mapping, pairs, spans
+from claimlens.llm import consensus, mapping, pairs, spans
 
 
 ASK = "Inputs:\nUplink Gap Mean=+0.50000; Reset Flag Count=-0.25000\nWrite a plain explanation that names each ranked input once and gives its direction."
@@ -110,3 +110,22 @@ def test_refusals_are_told_by_phrases_not_by_numbers(spark):
     ]
     df = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(cases)], "call_id int, prompt string, text string")
     assert {r["call_id"]: r["defect"] for r in pairs.checked(df).collect()} == {i: d for i, (_, _, d) in enumerate(cases)}
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_consensus_is_the_same_with_few_and_many_annotators(spark, most):
+    rng = random.Random(31)
+    skill = {f"a{i}": 0.9 - 0.1 * (i % 5) for i in range(9)}
+    votes = []
+    for u in range(300):
+        t = rng.randrange(4)
+        votes += [(f"i{u % 150}", f"f{u // 150}", a, t if rng.random() < s else rng.randrange(4)) for a, s in skill.items() if rng.random() < 0.6]
+    df = spark.createDataFrame(votes, "item_id string, feature string, annotator string, vote int")
+    one, two = consensus.Consensus(df), consensus.Consensus(df.repartition(5), most=most)
+    assert two.few == (most > 0)
+    units = df.select("item_id", "feature").distinct()
+    key = lambda m: {(r["item_id"], r["feature"]): (r["label"], round(r["probability"], 6), r["votes"]) for r in m.labels(units).collect()}
+    assert key(one) == key(two)
+    rated = lambda m: {r["annotator"]: (round(r["reliability"], 6), r["votes"]) for r in m.annotators().collect()}
+    assert rated(one) == rated(two) and len(rated(one)) == 9
+    assert consensus.Consensus(df.limit(0), most=most).labels(units).filter("votes = 0").count() == units.count()
