@@ -10,6 +10,8 @@ add a filter on the array's size, for which the optimizer makes the array again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def ranked(names: Column, values: Column, top: int | None = None) -> Column:
     """WN-01, WN-02: features by absolute value, with direction and 1-based rank."""
     keyed = F.zip_with(names, values, lambda n, v: F.struct(n.alias("feature"), v.alias("value")))
     keyed = F.transform(keyed, lambda x, i: F.struct((-F.abs(x["value"])).alias("a"), i.alias("i"), x["feature"].alias("feature"), x["value"].alias("value")))
-    ordered = F.array_sort(keyed)
+    # natural order; a comparator would be interpreted for each comparison
+    ordered = F.sort_array(keyed)
     if top is not None:
         ordered = F.slice(ordered, 1, top)
     return F.transform(ordered, lambda x, i: F.struct(x["feature"].alias("feature"), x["value"].alias("value"), sign(x["value"]).alias("direction"), (i + 1).alias("rank")))
@@ -71,14 +74,14 @@ def asserted(claims: Column) -> Column:
     return F.filter(claims, lambda c: ~c["direction_evidence"].eqNullSafe(F.lit("default")))
 
 
-def _agreeing(claims: Column, top: Column) -> Column:
+def agreeing(claims: Column, top: Column) -> Column:
     return F.filter(claims, lambda c: F.exists(top, lambda r: (r["feature"] == c["feature"]) & r["direction"].eqNullSafe(c["direction"])))
 
 
 def dsa(claims: Column, top: Column) -> Column:
     """Share of the present claims whose direction is the attribution's."""
     there = present(claims, top)
-    return share(F.size(_agreeing(there, top)), F.size(there))
+    return share(F.size(agreeing(there, top)), F.size(there))
 
 
 def dsa_asserted(claims: Column, top: Column) -> Column:
@@ -110,7 +113,7 @@ def ordinal_spearman(pairs: Column) -> Column:
     n = F.size(pairs)
 
     def placed(field: str) -> Column:
-        ordered = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p[field].alias("v"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(pairs, lambda p, i: F.struct(p[field].alias("v"), i.alias("i"))))
         return F.transform(pairs, lambda p, i: F.array_position(F.transform(ordered, lambda o: o["i"]), i))
 
     squares = F.aggregate(F.zip_with(placed("x"), placed("y"), lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, d: s + d)
@@ -120,14 +123,19 @@ def ordinal_spearman(pairs: Column) -> Column:
 def cited(claims: Column, known: Column, k: int) -> Column:
     """WN-09: the first ``k`` different known features by (rank, nulls last, position)."""
     keyed = F.transform(claims, lambda c, i: F.struct(F.coalesce(c["rank"], F.lit(2147483647)).alias("r"), i.alias("i"), c["feature"].alias("feature")))
-    mine = F.filter(F.array_sort(keyed), lambda c: F.array_contains(known, c["feature"]))
+    mine = F.filter(F.sort_array(keyed), lambda c: F.array_contains(known, c["feature"]))
     return F.slice(F.array_distinct(features(mine)), 1, k)
 
 
-def linear_score(names: Column, x: Column, weights: dict[str, float], bias: float) -> Column:
-    """ML-10: clip(bias + sum of weight * x, 0, 1), added in the order of the names."""
-    table = F.create_map(*[F.lit(y) for pair in weights.items() for y in pair])
-    total = F.aggregate(F.zip_with(names, x, lambda n, v: F.coalesce(table[n], F.lit(0.0)) * v), F.lit(float(bias)), lambda s, t: s + t)
+def linear_score(names: Column | Sequence[str], x: Column, weights: dict[str, float], bias: float) -> Column:
+    """ML-10: clip(bias + sum of weight * x, 0, 1), added in the order of the names; names known to the plan are written out."""
+    if isinstance(names, Column):
+        table = F.create_map(*[F.lit(y) for pair in weights.items() for y in pair])
+        total = F.aggregate(F.zip_with(names, x, lambda n, v: F.coalesce(table[n], F.lit(0.0)) * v), F.lit(float(bias)), lambda s, t: s + t)
+    else:
+        total = F.lit(float(bias))
+        for i, name in enumerate(names):
+            total = total + F.lit(float(weights.get(name, 0.0))) * F.get(x, F.lit(i))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
@@ -137,10 +145,12 @@ def margin(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def erased(names: Column, x: Column, background: Column, removed: Column) -> Column:
+def erased(names: Column | Sequence[str], x: Column, background: Column, removed: Column) -> Column:
     """L2-01: values of removed features replaced by the background, missing ones by 0."""
-    pairs = F.zip_with(names, F.arrays_zip(x.alias("x"), background.alias("b")), lambda n, v: F.when(F.array_contains(removed, n), F.coalesce(v["b"], F.lit(0.0))).otherwise(v["x"]))
-    return pairs
+    if isinstance(names, Column):
+        return F.zip_with(names, F.arrays_zip(x.alias("x"), background.alias("b")), lambda n, v: F.when(F.array_contains(removed, n), F.coalesce(v["b"], F.lit(0.0))).otherwise(v["x"]))
+    at = [F.lit(i) for i in range(len(names))]
+    return F.array(*[F.when(F.array_contains(removed, F.lit(n)), F.coalesce(F.get(background, i), F.lit(0.0))).otherwise(F.get(x, i)) for n, i in zip(names, at, strict=True)])
 
 
 def first_argmax(p: Column) -> Column:

@@ -65,7 +65,7 @@ def background() -> Column:
 
 
 def score(x: Column) -> Column:
-    return A.linear_score(names(), x, WEIGHTS, BIAS)
+    return A.linear_score(FEATURES, x, WEIGHTS, BIAS)
 
 
 def with_attribution(df: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def with_claims(df: DataFrame) -> DataFrame:
     seed = F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3
 
     def said(r: Column) -> Column:
-        m = (seed + r["rank"]) % 11
+        m = r["m"]
         return F.struct(
             F.when(m == 2, "ghost").otherwise(r["feature"]).alias("feature"),
             F.when(m == 3, None).when(m == 1, A.flipped(r["direction"])).otherwise(r["direction"]).alias("direction"),
@@ -89,8 +89,10 @@ def with_claims(df: DataFrame) -> DataFrame:
             F.when(m == 3, "default").when(m == 4, None).when(m == 5, "number").otherwise("word").alias("direction_evidence"),
         )
 
-    kept = F.filter("ranked", lambda r: (seed + r["rank"]) % 11 != 0)
-    return df.withColumn("claims", F.transform(kept, said)).withColumn("top", F.slice("ranked", 1, TOP_K))
+    # the kind of deviation is made once for each feature
+    marked = F.transform("ranked", lambda r: F.struct(r["feature"].alias("feature"), r["value"].alias("value"), r["direction"].alias("direction"), r["rank"].alias("rank"), ((F.col("seed_") + r["rank"]) % 11).alias("m")))
+    kept = F.filter(marked, lambda r: r["m"] != 0)
+    return df.withColumn("seed_", seed).withColumn("claims", F.transform(kept, said)).withColumn("top", F.slice("ranked", 1, TOP_K)).drop("seed_")
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions import attribution as A
-from claimlens.operators.flow import CLAIMS_SQL, audited, background, names, score
+from claimlens.operators.flow import CLAIMS_SQL, FEATURES, audited, background, names, score
 from claimlens.registry import Registry
 
 registry = Registry()
@@ -23,7 +23,7 @@ def _space(p: Column, space: str) -> Column:
 
 def delta(x: Column, removed: Column, space: str) -> Column:
     """Score of the full row less the score with ``removed`` features erased."""
-    return _space(score(x), space) - _space(score(A.erased(names(), x, background(), removed)), space)
+    return _space(score(x), space) - _space(score(A.erased(FEATURES, x, background(), removed)), space)
 
 
 def comprehensiveness(x: Column, chosen: Column, space: str) -> Column:
@@ -41,40 +41,53 @@ def per_feature(value: Column, chosen: Column) -> Column:
     return F.when(F.size(chosen) > 0, value / F.size(chosen)).otherwise(F.lit(0.0))
 
 
-def swept(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
-    """L2-13: rows (instance_id, class, k, space, metric values), both families in one pass."""
+PARTS = {"comprehensiveness": ("without", "top"), "sufficiency": ("only", "top"), "comprehensiveness_cited": ("without", "said"), "sufficiency_cited": ("only", "said")}
+
+
+def wide(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS, metrics: tuple[str, ...] | None = None, spaces: tuple[str, ...] = SPACES) -> DataFrame:
+    """L2-13, one row for each flow: instance_id, class and a column ``metric|k|space`` for each metric asked for, which alone are made."""
+    metrics = METRICS if metrics is None else metrics
+    bases = {m.removesuffix("_per_feature") for m in metrics}
+    families = {PARTS[m][1] for m in bases}
     rows = audited(spark, sf_dir).select("instance_id", "class", "x", "ranked", "claims", F.col("p").alias("full"))
     # each score is made once and read in both spaces
     for k in ks:
-        rows = rows.withColumn(f"top{k}", A.features(F.slice("ranked", 1, k))).withColumn(f"said{k}", A.cited(F.col("claims"), names(), k))
+        if "top" in families:
+            rows = rows.withColumn(f"top{k}", A.features(F.slice("ranked", 1, k)))
+        if "said" in families:
+            rows = rows.withColumn(f"said{k}", A.cited(F.col("claims"), names(), k))
     scores = []
     for k in ks:
-        for family in ("top", "said"):
-            chosen = F.col(f"{family}{k}")
-            scores.append(score(A.erased(names(), F.col("x"), background(), chosen)).alias(f"without_{family}{k}"))
-            scores.append(score(A.erased(names(), F.col("x"), background(), F.array_except(names(), chosen))).alias(f"only_{family}{k}"))
-    rows = rows.select("instance_id", "class", "full", *[F.size(f"said{k}").alias(f"n{k}") for k in ks], *scores)
-    sweeps = []
+        for kind, family in (PARTS[m] for m in sorted(bases)):
+            chosen = F.col(f"{family}{k}") if kind == "without" else F.array_except(names(), F.col(f"{family}{k}"))
+            scores.append(score(A.erased(FEATURES, F.col("x"), background(), chosen)).alias(f"{kind}_{family}{k}"))
+    counts = [F.size(f"said{k}").alias(f"n{k}") for k in ks] if "said" in families else []
+    rows = rows.select("instance_id", "class", "full", *counts, *scores)
+    made = []
     for k in ks:
-        for space in SPACES:
-            full = _space(F.col("full"), space)
-            apart = {f"{v}_{f}": full - _space(F.col(f"{v}_{f}{k}"), space) for v in ("without", "only") for f in ("top", "said")}
-            sweeps.append(
-                F.struct(
-                    F.lit(k).alias("k"),
-                    F.lit(space).alias("space"),
-                    F.col(f"n{k}").alias("n_cited"),
-                    apart["without_top"].alias("comprehensiveness"),
-                    apart["only_top"].alias("sufficiency"),
-                    F.when(F.col(f"n{k}") > 0, apart["without_said"]).otherwise(F.lit(0.0)).alias("comprehensiveness_cited"),
-                    apart["only_said"].alias("sufficiency_cited"),
-                )
-            )
-    one = rows.select("instance_id", "class", F.inline_outer(F.array(*sweeps)))
-    n = F.col("n_cited")
-    for name in ("comprehensiveness_cited", "sufficiency_cited"):
-        one = one.withColumn(f"{name}_per_feature", F.when(n > 0, F.col(name) / n).otherwise(F.lit(0.0)))
-    return one
+        for space in spaces:
+            for metric in metrics:
+                base = metric.removesuffix("_per_feature")
+                kind, family = PARTS[base]
+                value = _space(F.col("full"), space) - _space(F.col(f"{kind}_{family}{k}"), space)
+                if base == "comprehensiveness_cited":
+                    value = F.when(F.col(f"n{k}") > 0, value).otherwise(F.lit(0.0))
+                if metric != base:
+                    value = F.when(F.col(f"n{k}") > 0, value / F.col(f"n{k}")).otherwise(F.lit(0.0))
+                made.append(value.alias(f"{metric}|{k}|{space}"))
+    return rows.select("instance_id", "class", *made)
+
+
+def long_form(df: DataFrame, by: list[str], ks: tuple[int, ...], columns: list[str], spaces: tuple[str, ...] = SPACES) -> DataFrame:
+    """Rows (by, k, space, columns) out of the columns ``name|k|space``."""
+    parts = [F.struct(F.lit(k).alias("k"), F.lit(s).alias("space"), *[F.col(f"`{c}|{k}|{s}`").alias(c) for c in columns]) for k in ks for s in spaces]
+    return df.select(*by, F.inline_outer(F.array(*parts)))
+
+
+def swept(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS, metrics: tuple[str, ...] | None = None, spaces: tuple[str, ...] = SPACES) -> DataFrame:
+    """L2-13: rows (instance_id, class, k, space, metric values), both families in one pass."""
+    metrics = METRICS if metrics is None else metrics
+    return long_form(wide(spark, sf_dir, ks, metrics, spaces), ["instance_id", "class"], ks, list(metrics), spaces)
 
 
 METRICS = ("comprehensiveness", "sufficiency", "comprehensiveness_cited", "sufficiency_cited", "comprehensiveness_cited_per_feature", "sufficiency_cited_per_feature")
@@ -115,7 +128,10 @@ SWEPT_ALL_SQL = SWEPT_SQL.replace("unnest([1, 3])", "unnest([1, 3, 5])")
 
 def _by_sweep(metric: str, ks: tuple[int, ...] = KS):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return swept(spark, sf_dir, ks).groupBy("class", "k", "space").agg(F.count("*").alias("n"), F.round(F.avg(metric), 6).alias(metric))
+        """Averages of the wide rows first, then one row for each k and space."""
+        rows = wide(spark, sf_dir, ks, (metric,))
+        means = rows.groupBy("class").agg(F.count("*").alias("n"), *[F.round(F.avg(f"`{c}`"), 6).alias(c) for c in rows.columns[2:]])
+        return long_form(means, ["class", "n"], ks, [metric]).select("class", "k", "space", "n", metric)
 
     return query
 
@@ -131,7 +147,7 @@ for _metric in METRICS:
 )
 def l2_01_background_erasure(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
     rows = audited(spark, sf_dir)
-    made = F.array(*[F.struct(F.lit(k).alias("k"), score(A.erased(names(), F.col("x"), background(), A.features(F.slice("ranked", 1, k)))).alias("q")) for k in ks])
+    made = F.array(*[F.struct(F.lit(k).alias("k"), score(A.erased(FEATURES, F.col("x"), background(), A.features(F.slice("ranked", 1, k)))).alias("q")) for k in ks])
     return rows.select("class", "p", F.inline_outer(made)).groupBy("class", "k").agg(F.round(F.avg("p"), 6).alias("p_full"), F.round(F.avg("q"), 6).alias("p_erased"))
 
 
@@ -163,8 +179,9 @@ _ALL = f"SELECT k, space, metric, round(avg(value), 6) AS mean FROM (UNPIVOT (SE
 
 @registry.add("l2_12_compute_all", f"WITH {SWEPT_SQL} {_ALL}")
 def l2_12_compute_all(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
-    long = swept(spark, sf_dir, ks).unpivot(["instance_id", "k", "space"], list(METRICS), "metric", "value")
-    return long.groupBy("k", "space", "metric").agg(F.round(F.avg("value"), 6).alias("mean"))
+    rows = wide(spark, sf_dir, ks)
+    means = rows.agg(*[F.round(F.avg(f"`{c}`"), 6).alias(c) for c in rows.columns[2:]])
+    return long_form(means, [], ks, list(METRICS)).unpivot(["k", "space"], list(METRICS), "metric", "mean")
 
 
 @registry.add("l2_12_compute_all_k135", f"WITH {SWEPT_ALL_SQL} {_ALL}")
@@ -180,9 +197,9 @@ def l2_13_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("l2_13_sweep_k135", f"WITH {SWEPT_ALL_SQL} SELECT k, space, count(*) AS n, count(DISTINCT class) AS classes, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM sw GROUP BY 1, 2")
 def l2_13_sweep_k135(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole sweep with the mean of every metric in it."""
-    # classes are counted from one row for each, else every row is opened once more for the distinct count
-    each = swept(spark, sf_dir, SWEEP).groupBy("k", "space", "class").agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in METRICS])
-    return each.groupBy("k", "space").agg(F.sum("n").alias("n"), F.count("class").alias("classes"), *[F.round(F.sum(m) / F.sum("n"), 6).alias(m) for m in METRICS])
+    rows = wide(spark, sf_dir, SWEEP)
+    sums = rows.groupBy("class").agg(F.count("*").alias("n"), *[F.sum(f"`{c}`").alias(c) for c in rows.columns[2:]])
+    return long_form(sums, ["class", "n"], SWEEP, list(METRICS)).groupBy("k", "space").agg(F.sum("n").alias("n"), F.count("class").alias("classes"), *[F.round(F.sum(m) / F.sum("n"), 6).alias(m) for m in METRICS])
 
 
 _WIDE = "SELECT k, metric, avg(abs(value)) FILTER (WHERE space = 'prob') AS a, avg(abs(value)) FILTER (WHERE space = 'margin') AS b, avg(CASE WHEN abs(value) <= 1e-9 THEN 1.0 ELSE 0.0 END) FILTER (WHERE space = 'prob') AS flat FROM (UNPIVOT (SELECT instance_id, k, space, comprehensiveness, sufficiency FROM sw) ON comprehensiveness, sufficiency INTO NAME metric VALUE value) GROUP BY 1, 2"
@@ -191,7 +208,7 @@ _WIDE = "SELECT k, metric, avg(abs(value)) FILTER (WHERE space = 'prob') AS a, a
 @registry.add("l2_14_saturation_report", f"WITH {SWEPT_SQL} SELECT k, metric, round(a, 6) AS mean_abs_prob, round(b, 6) AS mean_abs_margin, round(flat, 6) AS flat_share, CASE WHEN a > 0 THEN round(b / a, 4) END AS ratio FROM ({_WIDE})")
 def l2_14_saturation_report(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = KS) -> DataFrame:
     """Mean absolute delta in both spaces, share of flat ones, ratio (null if all are flat)."""
-    long = swept(spark, sf_dir, ks).unpivot(["instance_id", "k", "space"], ["comprehensiveness", "sufficiency"], "metric", "value")
+    long = swept(spark, sf_dir, ks, ("comprehensiveness", "sufficiency")).unpivot(["instance_id", "k", "space"], ["comprehensiveness", "sufficiency"], "metric", "value")
     size = F.abs("value")
     one = long.groupBy("k", "metric").agg(
         F.avg(F.when(F.col("space") == "prob", size)).alias("a"),
@@ -212,7 +229,7 @@ CELLS = ("load_bearing", "redundant", "necessary_not_sufficient", "irrelevant")
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = swept(spark, sf_dir).filter("k = 1 AND space = 'prob'")
+    rows = swept(spark, sf_dir, (1,), ("comprehensiveness", "sufficiency"), ("prob",))
     return rows.select("class", A.reliance(F.col("comprehensiveness"), F.col("sufficiency"), THRESHOLD).alias("cell"))
 
 
@@ -235,7 +252,7 @@ def ag_04_tabulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("ag_03_layer2_per_class", f"WITH {SWEPT_SQL} SELECT coalesce(class, '(all)') AS class, space, count(*) AS n, round(avg(comprehensiveness), 6) AS mean FROM sw WHERE k = 3 GROUP BY GROUPING SETS ((space, class), (space))")
 def ag_03_layer2_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = swept(spark, sf_dir).filter("k = 3")
+    rows = swept(spark, sf_dir, (3,), ("comprehensiveness",))
     grouped = rows.groupingSets([["space", "class"], ["space"]], "space", "class").agg(F.count("*").alias("n"), F.round(F.avg("comprehensiveness"), 6).alias("mean"))
     return grouped.withColumn("class", F.coalesce("class", F.lit("(all)")))
 
@@ -251,7 +268,7 @@ def decomposition(nar: Column, att: Column, model: Column, total: Column, slack:
     f"WITH {SWEPT_SQL}, e AS (SELECT class, abs(comprehensiveness - comprehensiveness_cited) AS nar, abs(sufficiency) AS att, abs(sufficiency_cited) AS model, abs(comprehensiveness) AS total FROM sw WHERE k = 3 AND space = 'prob') SELECT class, round(avg(nar + att + model), 6) AS bound, round(avg(total - (nar + att + model)), 6) AS residual, count(*) FILTER (WHERE total <= nar + att + model + 1e-9) AS within FROM e GROUP BY 1",
 )
 def l2_17_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = swept(spark, sf_dir).filter("k = 3 AND space = 'prob'")
+    s = swept(spark, sf_dir, (3,), tuple(PARTS), ("prob",))
     parts = decomposition(F.abs(F.col("comprehensiveness") - F.col("comprehensiveness_cited")), F.abs("sufficiency"), F.abs("sufficiency_cited"), F.abs("comprehensiveness"), 1e-9)
     rows = s.select("class", *[c.alias(n) for n, c in parts.items()])
     return rows.groupBy("class").agg(F.round(F.avg("bound"), 6).alias("bound"), F.round(F.avg("residual"), 6).alias("residual"), F.count_if("satisfies_bound").alias("within"))
@@ -263,7 +280,7 @@ def l2_17_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jn_01_inner_equi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs the two deltas of an instance; the nullable grouping key is compared null-safe."""
-    s = swept(spark, sf_dir).filter("k = 1 AND space = 'prob'")
+    s = swept(spark, sf_dir, (1,), ("comprehensiveness", "sufficiency"), ("prob",))
     a, b = s.select("instance_id", "class", "comprehensiveness").alias("a"), s.select("instance_id", "class", "sufficiency").alias("b")
     met = a.join(b, (F.col("a.instance_id") == F.col("b.instance_id")) & F.col("a.class").eqNullSafe(F.col("b.class")))
     return met.groupBy("a.class").agg(F.count("*").alias("pairs"), F.round(F.sum(F.col("comprehensiveness") * F.col("sufficiency")), 4).alias("product"))
