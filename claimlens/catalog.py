@@ -7,7 +7,7 @@ from importlib import import_module
 from claimlens.registry import Query
 
 FLAGSHIP = "l1_03_mention_f1"
-MODULES = ("layer1", "layer2", "statistics", "relational", "agreement", "competence", "sampling", "texts", "generation")
+MODULES = ("layer1", "layer2", "statistics", "relational", "agreement", "competence", "sampling", "texts", "generation", "detectors")
 
 
 def _registries():

@@ -25,6 +25,16 @@ def predict(model: RandomForestClassificationModel, df: DataFrame, features: lis
     return model.transform(assembled(df, features)).withColumn("proba", vector_to_array("probability")).drop("features_", "rawPrediction", "probability", "prediction")
 
 
+def both_classes(p: Column) -> Column:
+    """ML-02: a scalar score of the last class as one probability for each of two classes."""
+    return F.array(1 - p, p)
+
+
+def checked_width(proba: Column, classes: int) -> Column:
+    """ML-02: ``proba``, or an error where it has not one entry for each class."""
+    return F.when(F.size(proba) == classes, proba).otherwise(F.raise_error(F.lit(f"there must be {classes} probabilities")))
+
+
 def attack_probability(proba: Column, benign: int) -> Column:
     """ML-01."""
     return 1 - F.get(proba, F.lit(benign))
@@ -71,7 +81,8 @@ def deep_attribution(*_: object) -> None:
     raise Undeclared("attribution of deep models is declared only")
 
 
-CORRECTIONS = ("drop_duplicates", "repair_labels", "drop_non_finite", "check_time_window", "canonical_names")
+#: Names by which configurations call for a correction.
+CORRECTIONS = ("drop_duplicate_flows", "repair_label_leakage", "handle_nan_inf", "fix_attack_window_timestamps", "canonicalise_feature_names")
 
 
 def apply_correction(name: str, df: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def test_declared_parts_raise(part):
     with pytest.raises(KeyError):
         M.apply_correction("unknown", None)
     with pytest.raises(NotImplementedError):
-        M.apply_correction("repair_labels", None)
+        M.apply_correction("repair_label_leakage", None)
 
 
 def test_stream_equals_batch(spark, tmp_path):
