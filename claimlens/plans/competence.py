@@ -101,6 +101,8 @@ class Decision:
     merges: dict[str, str] = field(default_factory=dict)
     excluded: tuple[str, ...] = ()
     failing: tuple[str, ...] = ()
+    #: no class fails, but the mean F1 does: the detector is at fault, which no merge repairs
+    detector_defect: bool = False
 
 
 class LadderExhausted(RuntimeError):
@@ -111,16 +113,17 @@ def failing_of(table: dict[str, dict], vocabulary: tuple[str, ...]) -> tuple[str
     return tuple(c for c in vocabulary if c != BENIGN and (table.get(c, {}).get("n", 0) < MIN_SUPPORT or (table.get(c, {}).get("recall") or 0.0) < RECALL_FLOOR))
 
 
-def resolve(table: dict[str, dict], vocabulary: tuple[str, ...], parents: dict[str, str], merged: bool = False) -> Decision:
+def resolve(table: dict[str, dict], vocabulary: tuple[str, ...], parents: dict[str, str], merged: bool = False, macro_f1: float | None = None, least_f1: float = MIN_MACRO_F1) -> Decision:
     """CP-06: stand, merge lineage groups, fall back to two classes, or give up.
 
     ``table`` maps a class to its ``n`` and ``recall``. Two classes that still
-    fail exhaust the ladder.
+    fail exhaust the ladder. Where no class fails but ``macro_f1`` is under
+    ``least_f1``, the vocabulary stands and the detector is at fault.
     """
     attacks = tuple(c for c in vocabulary if c != BENIGN)
     failing = failing_of(table, vocabulary)
     if not failing:
-        return Decision(2 if merged else 1, merged, vocabulary)
+        return Decision(2 if merged else 1, merged, vocabulary, detector_defect=macro_f1 is not None and macro_f1 < least_f1)
     if len(attacks) <= 1:
         raise LadderExhausted("the two-class detector fails as well")
     if len(failing) / len(attacks) >= MERGE_SHARE:

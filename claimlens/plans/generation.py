@@ -11,6 +11,7 @@ from claimlens.functions import attribution as A
 from claimlens.functions import text as X
 from claimlens.operators.flow import PHI_SQL, audited, background, names
 from claimlens.plans import agreement, competence, layer2, statistics
+from claimlens.plans import relational
 from claimlens.plans.relational import l2_02_conditional_imputer
 from claimlens.registry import Registry
 from claimlens.sources import load
@@ -58,11 +59,11 @@ def gn_05_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark, sf_dir).groupBy(F.sha2(prompt, 256).alias("prompt_sha256"), "class").agg(F.count("*").alias("n"))
 
 
-@registry.add("gn_07_knowledge_lookup", "WITH t AS (SELECT c.explanation_id, c.pos, f.description FROM claims c JOIN feature_catalog f ON f.feature = c.feature WHERE c.pos < 3) SELECT description, count(*) AS used, min(pos) AS first_place FROM t GROUP BY 1")
+@registry.add("gn_07_knowledge_lookup", "WITH t AS (SELECT c.explanation_id, c.pos, f.description FROM claims c JOIN feature_catalog f ON f.feature = c.feature) SELECT description, count(*) AS used, min(pos) AS first_place FROM t GROUP BY 1")
 def gn_07_knowledge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions of the names an explanation cites first; unknown names are left out."""
+    """Descriptions of the names that explanations cite; unknown names are left out."""
     kb = load(spark, sf_dir, "feature_catalog").select("feature", "description")
-    cited = load(spark, sf_dir, "claims").filter("pos < 3").groupBy("feature", "pos").agg(F.count("*").alias("n"))
+    cited = load(spark, sf_dir, "claims").groupBy("feature", "pos").agg(F.count("*").alias("n"))
     return cited.join(kb, "feature").groupBy("description").agg(F.sum("n").alias("used"), F.min("pos").alias("first_place"))
 
 
@@ -91,6 +92,8 @@ TESTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layer2_redundancy": layer2.ag_04_tabulate,
     "agreement": agreement.st_13_krippendorff_nominal,
     "competence": competence.cp_03_evaluate_competence,
+    "cost_summary": relational.ag_07_cost_summary_pivot,
+    "capability_scaling": relational.ag_08_capability_summary,
 }
 
 

@@ -232,13 +232,18 @@ def st_02_fluency_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", F.round(_pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]), 6).alias("spearman"))
 
 
-@registry.add("st_19_validate_judge", None)
+@registry.add("st_19_validate_judge", f"SELECT n, spearman, spearman >= 0.6 AS valid FROM ({registry.sql['st_02_fluency_correlation']})")
 def st_19_validate_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge is valid if its scores rank the blocks as the reference scores do."""
     return st_02_fluency_correlation(spark, sf_dir).select("n", "spearman", (F.col("spearman") >= 0.6).alias("valid"))
 
 
+#: Fixed value: resamples of a bootstrap.
+RESAMPLES = 10_000
+
+
 def bootstrap_interval(values: np.ndarray, resamples: int, seed: int) -> tuple[float, float, float]:
-    """ST-08: mean with the 2.5 % and 97.5 % points of resampled means (Poisson weights, so sums suffice)."""
+    """ST-08: mean with the 2.5 % and 97.5 % points of resampled means (multinomial weights)."""
     rng = np.random.default_rng(seed)
     means = np.empty(resamples)
     for at in range(0, resamples, 250):
@@ -249,23 +254,23 @@ def bootstrap_interval(values: np.ndarray, resamples: int, seed: int) -> tuple[f
 
 
 @registry.add("st_08_bootstrap_mean_ci", None)
-def st_08_bootstrap_mean_ci(spark: SparkSession, sf_dir: str, resamples: int = 1000) -> DataFrame:
+def st_08_bootstrap_mean_ci(spark: SparkSession, sf_dir: str, resamples: int = RESAMPLES) -> DataFrame:
     """Interval of the mean by method. Each partition resamples its own rows with Poisson weights and
     sends sums for every resample, so no group is gathered and the result has one row for each method."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for method, part in batch.groupby("method"):
-                values = part["value"].to_numpy()
-                rng = np.random.default_rng(np.frombuffer(np.sort(part["block"].to_numpy()).tobytes(), dtype=np.uint32))
                 sums, sizes = np.zeros(resamples), np.zeros(resamples)
-                for at in range(0, len(values), 4096):
-                    weights = rng.poisson(1.0, (resamples, len(values[at : at + 4096])))
-                    sums += weights @ values[at : at + 4096]
-                    sizes += weights.sum(1)
-                yield pd.DataFrame({"method": method, "r": np.arange(resamples), "s": sums, "w": sizes, "t": values.sum() / resamples, "n": len(values) / resamples})
-
-    parts = scores(spark, sf_dir).mapInPandas(run, "method string, r int, s double, w double, t double, n double")
+                # a row's weights depend on its key only, so the partitioning does not matter
+                for block, value in zip(part["key"].to_numpy(), part["value"].to_numpy(), strict=True):
+                    weights = np.random.Generator(np.random.Philox(key=int(block) & 0xFFFFFFFFFFFFFFFF)).poisson(1.0, resamples)
+                    sums += weights * value
+                    sizes += weights
+                yield pd.DataFrame({"method": method, "r": np.arange(resamples), "s": sums, "w": sizes, "t": part["value"].sum() / resamples, "n": len(part) / resamples})
+
+    keyed = scores(spark, sf_dir).select("method", "value", F.xxhash64("method", "block").alias("key"))
+    parts = keyed.mapInPandas(run, "method string, r int, s double, w double, t double, n double")
     one = parts.groupBy("method", "r").agg((F.sum("s") / F.sum("w")).alias("mean"), F.sum("t").alias("t"), F.sum("n").alias("n"))
     return one.groupBy("method").agg((F.sum("t") / F.sum("n")).alias("mean"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
@@ -292,7 +297,36 @@ def wilcoxon(differences: list[float]) -> tuple[float, float]:
     return stat, float(math.erfc(abs(z) / math.sqrt(2)))
 
 
-@registry.add("st_07_wilcoxon_pair", None)
+#: Coefficients of the rational Chebyshev fit of the complementary error function.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def two_sided(z: Column) -> Column:
+    """Two-sided p of a standard normal value, to 1.2e-7 of itself."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    series = F.lit(ERFC[-1])
+    for c in ERFC[-2::-1]:
+        series = c + t * series
+    return t * F.exp(-x * x + series)
+
+
+_SERIES = f"{ERFC[-1]}"
+for _c in ERFC[-2::-1]:
+    _SERIES = f"({_c} + t * {_SERIES})"
+
+
+@registry.add(
+    "st_07_wilcoxon_pair",
+    f"""WITH {SCORES_SQL}, w AS (SELECT a.value - b.value AS d FROM scores a JOIN scores b ON a.block = b.block WHERE a.method = 'click' AND b.method = 'view' AND a.value <> b.value),
+    r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rank FROM w),
+    k AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM w GROUP BY abs(d))),
+    s AS (SELECT count(*)::DOUBLE AS n, coalesce(sum(rank) FILTER (WHERE d > 0), 0)::DOUBLE AS plus FROM r),
+    v AS (SELECT n, least(plus, n * (n + 1) / 2 - plus) AS statistic, ties FROM s, k),
+    y AS (SELECT n, statistic, (statistic - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM v),
+    q AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + abs(z) / sqrt(2) / 2) AS t FROM y)
+    SELECT n::BIGINT AS n, statistic, round(z, 6) AS z, round(t * exp(-x * x + {_SERIES}), 6) AS p FROM q""",
+)
 def st_07_wilcoxon_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed-rank test of two methods over blocks by the normal approximation with tie correction, all in aggregates."""
     s = scores(spark, sf_dir).filter(F.col("method").isin("click", "view")).groupBy("block").pivot("method", ["click", "view"]).agg(F.first("value"))
@@ -303,7 +337,7 @@ def st_07_wilcoxon_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     stat = F.least(F.col("plus"), n * (n + 1) / 2 - F.col("plus"))
     z = (stat - n * (n + 1) / 4) / F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    return t.select("n", stat.alias("statistic"), z.alias("z"))
+    return t.select("n", stat.cast("double").alias("statistic"), F.round(z, 6).alias("z"), F.round(two_sided(z), 6).alias("p"))
 
 
 def random_intercept(groups: list[tuple[int, float, float]]) -> dict[str, float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -122,14 +122,30 @@ def tx_13_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ledger and content hashes
 
 
-def request_hash(df: DataFrame, columns: list[str], out: str = "hash") -> DataFrame:
-    """LL-01: sha256 of the JSON of the columns in key order, nulls kept."""
-    return df.withColumn(out, F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256))
+def quoted(value: Column) -> Column:
+    """The JSON of one value; null is ``null``."""
+    made = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(made, F.lit(6), F.length(made) - 6)
 
 
-@registry.add("ll_01_request_hash", "SELECT sha256(model_id || chr(10) || snapshot_id || chr(10) || prompt || chr(10) || params) AS hash, count(*) AS n FROM llm_calls GROUP BY 1")
+def tight_json(value: Column) -> Column:
+    """Stored JSON, whose keys stand in order, without blanks outside its strings."""
+    return F.regexp_replace(value, r'\s*([:,])\s*(?=(?:[^"]*"[^"]*")*[^"]*$)', "$1")
+
+
+def request_hash(model_id: Column, snapshot_id: Column, prompt: Column, params: Column) -> Column:
+    """LL-01: sha256 of the canonical JSON of what determines an answer, keys in order, nulls kept."""
+    parts = (("model_id", quoted(model_id)), ("params", F.coalesce(tight_json(params), F.lit("null"))), ("prompt", quoted(prompt)), ("snapshot_id", quoted(snapshot_id)))
+    fields = [F.concat(F.lit(f'"{k}":'), v) for k, v in parts]
+    return F.sha2(F.concat(F.lit("{"), F.array_join(F.array(*fields), ","), F.lit("}")), 256)
+
+
+_CANONICAL = """'{"model_id":' || coalesce(to_json(model_id)::VARCHAR, 'null') || ',"params":' || coalesce(json(params)::VARCHAR, 'null') || ',"prompt":' || coalesce(to_json(prompt)::VARCHAR, 'null') || ',"snapshot_id":' || coalesce(to_json(snapshot_id)::VARCHAR, 'null') || '}'"""
+
+
+@registry.add("ll_01_request_hash", f"SELECT sha256({_CANONICAL}) AS hash, count(*) AS n FROM llm_calls GROUP BY 1")
 def ll_01_request_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = F.sha2(F.concat_ws("\n", "model_id", "snapshot_id", "prompt", "params"), 256)
+    hashed = request_hash(F.col("model_id"), F.col("snapshot_id"), F.col("prompt"), F.col("params"))
     return load(spark, sf_dir, "llm_calls").groupBy(hashed.alias("hash")).agg(F.count("*").alias("n"))
 
 
@@ -159,20 +175,15 @@ def ll_05_stub_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "llm_calls").groupBy("snapshot_id").agg(F.min(made).alias("least"), F.max(made).alias("most"))
 
 
-@registry.add("pv_02_content_hash", "SELECT kind, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS digest FROM (SELECT kind, doc_id, text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY kind, lang)) GROUP BY 1")
-def pv_02_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the first document of each kind and language, in id order; one document for each group is bounded."""
-    docs = load(spark, sf_dir, "documents")
-    firsts = docs.groupBy("kind", "lang").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))))
-    return firsts.groupBy("kind").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("digest"))
-
-
 _PARTS = (1, 17, 33, 49)
 _ALL_SUMS = " || ',' || ".join(f"sum(('0x' || substr(h, {i}, 16))::UBIGINT::HUGEINT)" for i in _PARTS)
 
 
-@registry.add("pv_02_content_hash_all", f"SELECT kind, count(*) AS n, sha256({_ALL_SUMS}) AS digest FROM (SELECT kind, sha256(doc_id || ':' || coalesce(sha256(text), '')) AS h FROM documents) GROUP BY 1")
+_HASH_SQL = f"SELECT kind, count(*) AS n, sha256({_ALL_SUMS}) AS digest FROM (SELECT kind, sha256(doc_id || ':' || coalesce(sha256(text), '')) AS h FROM documents) GROUP BY 1"
+
+
+@registry.add("pv_02_content_hash", _HASH_SQL)
+@registry.add("pv_02_content_hash_all", _HASH_SQL)
 def pv_02_content_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all documents of each kind: the hashes of id and text, summed in four parts, so in any order and as partial sums."""
     hashed = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce(F.sha2("text", 256), F.lit(""))), 256)
@@ -181,32 +192,51 @@ def pv_02_content_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *sums), 256).alias("digest"))
 
 
-@registry.add("pv_04_table_digest", None)
+_ROW_SQL = "sha256(concat_ws(chr(31), coalesce(feature_id::VARCHAR, chr(0)), coalesce(feature, chr(0)), coalesce(description, chr(0)), coalesce(units, chr(0)), coalesce(array_to_string(aliases, chr(30)), chr(0))))"
+
+
+def row_hash(*columns: Column) -> Column:
+    """sha256 of a row's values as text, nulls told from empty ones."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)
+
+
+@registry.add("pv_04_table_digest", f"SELECT count(*) AS n, sha256({_ALL_SUMS}) AS digest FROM (SELECT {_ROW_SQL} AS h FROM feature_catalog)")
 def pv_04_table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-free digest of a table: row count and sum of 64-bit row hashes, in one pass."""
-    docs = load(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*docs.columns).cast("decimal(38,0)")).alias("digest"))
+    """Order-free digest of a table: row count and the row hashes, summed in four parts."""
+    rows = load(spark, sf_dir, "feature_catalog").select(row_hash(F.col("feature_id"), F.col("feature"), F.col("description"), F.col("units"), F.array_join("aliases", "\x1e")).alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", i, 16), 16, 10).cast("decimal(20,0)")).cast("string") for i in _PARTS]
+    return rows.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *sums), 256).alias("digest"))
 
 
-@registry.add("pv_05_run_ids", "WITH r AS (SELECT cell_id || '__' || left(request_hash, 7) || '__' || strftime(timestamp_utc, '%Y%m%dT%H%M%SZ') AS run FROM llm_calls) SELECT regexp_extract(run, '__([0-9a-f]{7})__', 1) AS commit, count(*) AS n FROM r WHERE regexp_matches(run, '__[0-9a-f]{7}__[0-9]{8}T[0-9]{6}Z$') GROUP BY 1")
+@registry.add("pv_05_run_ids", "WITH r AS (SELECT cell_id || '__' || left(request_hash, 7) || '__' || strftime(timestamp_utc, '%Y-%m-%dT%H%MZ') AS run FROM llm_calls) SELECT regexp_extract(run, '__([0-9a-f]{7})__', 1) AS commit, count(*) AS n FROM r WHERE regexp_matches(run, '__[0-9a-f]{7}__[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{4}Z$') GROUP BY 1")
 def pv_05_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = F.concat_ws("__", "cell_id", F.substring("request_hash", 1, 7), F.date_format("timestamp_utc", "yyyyMMdd'T'HHmmss'Z'"))
-    rows = load(spark, sf_dir, "llm_calls").select(run.alias("run")).filter(F.regexp_like("run", F.lit("__[0-9a-f]{7}__[0-9]{8}T[0-9]{6}Z$")))
+    run = F.concat_ws("__", "cell_id", F.substring("request_hash", 1, 7), F.date_format("timestamp_utc", "yyyy-MM-dd'T'HHmm'Z'"))
+    rows = load(spark, sf_dir, "llm_calls").select(run.alias("run")).filter(F.regexp_like("run", F.lit("__[0-9a-f]{7}__[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{4}Z$")))
     return rows.groupBy(F.regexp_extract("run", "__([0-9a-f]{7})__", 1).alias("commit")).agg(F.count("*").alias("n"))
 
 
-@registry.add("pv_11_enforce_gates", "SELECT c.generator, bool_or(e.abstained IS FALSE) AS passed FROM cells c LEFT JOIN explanations e ON e.cell_id = c.cell_id GROUP BY 1")
-def pv_11_enforce_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gate holds if some run of it passed."""
-    runs = load(spark, sf_dir, "explanations").groupBy("cell_id").agg(F.bool_or(~F.col("abstained")).alias("ok"))
-    return load(spark, sf_dir, "cells").join(runs, "cell_id", "left").groupBy("generator").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("passed"))
+_RUNS = "runs AS (SELECT cell_id, strftime(created_utc, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE abstained) AS gone FROM explanations GROUP BY 1, 2), states AS (SELECT cell_id, day, CASE WHEN n >= 2 THEN 'COMPLETE' ELSE 'FAILED' END AS status, gone = 0 AS passed FROM runs)"
 
 
-@registry.add("pv_14_lineage", "SELECT 1 AS level, generator AS parent, cell_id AS child FROM cells UNION ALL SELECT DISTINCT 2, cell_id, snapshot_id FROM llm_calls")
+@registry.add("pv_11_enforce_gates", f"WITH {_RUNS} SELECT c.generator, count(*) AS cells, count(*) FILTER (WHERE c.cell_id IN (SELECT cell_id FROM states WHERE status = 'COMPLETE' AND passed)) AS open FROM cells c GROUP BY 1")
+def pv_11_enforce_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate is open if one of its runs is complete and passed; a run is a day of a cell, complete with two rows, passed without a fallback."""
+    runs = load(spark, sf_dir, "explanations").groupBy("cell_id", F.to_date("created_utc").alias("day")).agg(F.count("*").alias("n"), F.count_if("abstained").alias("gone"))
+    passed = runs.filter("n >= 2 AND gone = 0").select("cell_id").distinct().withColumn("open", F.lit(True))
+    cells = load(spark, sf_dir, "cells").join(passed, "cell_id", "left")
+    return cells.groupBy("generator").agg(F.count("*").alias("cells"), F.count_if("open").alias("open"))
+
+
+@registry.add(
+    "pv_14_lineage",
+    "WITH c AS (SELECT generator, cell_id, count(*) AS n FROM llm_calls LEFT JOIN cells USING (cell_id) GROUP BY 1, 2), s AS (SELECT generator, cell_id, snapshot_id, count(*) AS n FROM llm_calls LEFT JOIN cells USING (cell_id) GROUP BY 1, 2, 3) "
+    "SELECT 1 AS level, generator AS path, sum(n)::BIGINT AS calls FROM c GROUP BY 2 UNION ALL SELECT 2, concat_ws('/', generator, cell_id), n FROM c UNION ALL SELECT 3, concat_ws('/', generator, cell_id, snapshot_id), n FROM s",
+)
 def pv_14_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = load(spark, sf_dir, "cells").select(F.lit(1).alias("level"), F.col("generator").alias("parent"), F.col("cell_id").alias("child"))
-    two = load(spark, sf_dir, "llm_calls").select(F.lit(2).alias("level"), F.col("cell_id").alias("parent"), F.col("snapshot_id").alias("child")).distinct()
-    return one.unionByName(two)
+    """The tree generator, cell, snapshot with the calls below each node, from one roll-up of the calls."""
+    calls = load(spark, sf_dir, "llm_calls").groupBy("cell_id", "snapshot_id").agg(F.count("*").alias("n")).join(load(spark, sf_dir, "cells").select("cell_id", "generator"), "cell_id", "left")
+    rolled = calls.groupingSets([["generator"], ["generator", "cell_id"], ["generator", "cell_id", "snapshot_id"]], "generator", "cell_id", "snapshot_id").agg(F.sum("n").alias("calls"), (3 - F.bit_count(F.grouping_id())).cast("int").alias("level"))
+    return rolled.select("level", F.concat_ws("/", "generator", "cell_id", "snapshot_id").alias("path"), "calls")
 
 
 @registry.add("pv_15_dangling", "SELECT count(DISTINCT h) AS cited, count(DISTINCT h) FILTER (WHERE h NOT IN (SELECT request_hash FROM llm_calls WHERE request_hash IS NOT NULL)) AS dangling FROM (SELECT unnest(llm_call_ids) AS h FROM explanations)")
@@ -216,9 +246,9 @@ def pv_15_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.join(there, "request_hash", "left").agg(F.count("*").alias("cited"), F.count_if(F.col("there").isNull()).alias("dangling"))
 
 
-@registry.add("st_stream_windows", None)
+@registry.add("st_stream_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def st_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: the batch form of the streaming counts by hour and type."""
     from claimlens.streaming.windows import windowed
 
-    return windowed(load(spark, sf_dir, "events"))
+    return windowed(load(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))

@@ -5,13 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN_ID = re.compile(r"^(?P<experiment>.+)__(?P<commit>[0-9a-f]{7})__(?P<utc>\d{8}T\d{6}Z)$")
+#: The form of a run id and of the time in it.
+STAMP = "%Y-%m-%dT%H%MZ"
+RUN_ID = re.compile(r"^(?P<experiment>[A-Za-z0-9._-]+)__(?P<commit>[0-9a-f]{7})__(?P<utc>\d{4}-\d{2}-\d{2}T\d{4}Z)$")
 RUNNING, COMPLETE, FAILED = "RUNNING", "COMPLETE", "FAILED"
 REQUIRED = ("run_id", "inputs", "outputs", "status")
 
@@ -31,8 +35,10 @@ def content_address(*parts: object) -> str:
 
 
 def mint_run_id(experiment: str, commit: str, now: datetime | None = None) -> str:
-    """PV-05."""
-    return f"{experiment}__{commit[:7]}__{(now or datetime.now(UTC)).strftime('%Y%m%dT%H%M%SZ')}"
+    """PV-05: experiment, short commit and minute in UTC."""
+    if not experiment:
+        raise ValueError("an experiment has a name")
+    return f"{experiment}__{commit[:7]}__{(now or datetime.now(UTC)).astimezone(UTC).strftime(STAMP)}"
 
 
 def parse_run_id(run_id: str) -> dict[str, str]:
@@ -59,9 +65,24 @@ def write_status(folder: Path, status: str) -> None:
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (name, sha256) of all files below a folder, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    """Rows (name, sha256) of all files below a folder, by path relative to it, hashed where they are.
+
+    Only paths move; each task streams the files of its paths, so a file need not fit in memory.
+    """
+    root = Path(folder.removeprefix("file:"))
+    paths = sorted(p.relative_to(root).as_posix() for p in root.rglob("*") if p.is_file())
+    names = spark.createDataFrame([(p,) for p in paths], "name string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
+    base = str(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for name in batch["name"]:
+                with open(f"{base}/{name}", "rb") as file:
+                    made.append(hashlib.file_digest(file, "sha256").hexdigest())
+            yield pd.DataFrame({"name": batch["name"], "sha256": made})
+
+    return names.mapInPandas(run, "name string, sha256 string")
 
 
 def verify_outputs(spark: SparkSession, folder: str, outputs: dict[str, str]) -> DataFrame:
@@ -72,5 +93,5 @@ def verify_outputs(spark: SparkSession, folder: str, outputs: dict[str, str]) ->
 
 
 def without_copies(spark: SparkSession, folder: str) -> DataFrame:
-    """SO-06: one file name of each content."""
+    """SO-06: one file of each content."""
     return file_hashes(spark, folder).groupBy("sha256").agg(F.min("name").alias("name"))
