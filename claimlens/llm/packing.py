@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+#: Ranks within one length are made in so many parts at least, and in more where a part would have more than ``BUCKET_ROWS`` rows.
 RANK_BUCKETS = 64
+BUCKET_ROWS = 1_000_000
 MAX_CAPACITY = 1 << 20
 
 
@@ -114,19 +116,37 @@ def pieces_of(items: DataFrame, size: str, capacity: int) -> DataFrame:
     return items.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("piece_size", F.least(F.lit(capacity).cast("long"), F.col(size) - F.col("piece").cast("long") * capacity))
 
 
-def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+def sized(items: DataFrame, key: str, size: str) -> DataFrame:
+    return items.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+
+
+def histograms(items: DataFrame, key: str, size: str, capacities: list[int]) -> dict[int, dict[int, int]]:
+    """Pieces by size for each capacity, from one job; at most ``capacity`` numbers each, however many items."""
+    each = sized(items, key, size).withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities]))).filter("size > 0")
+    whole, rest = F.floor(F.col("size") / F.col("capacity")), F.col("size") % F.col("capacity")
+    parts = each.select("capacity", F.explode(F.array(F.struct(F.col("capacity").cast("long").alias("piece"), whole.cast("long").alias("n")), F.struct(rest.alias("piece"), F.lit(1).cast("long").alias("n")))).alias("x")).select("capacity", "x.*")
+    made: dict[int, dict[int, int]] = {c: {} for c in capacities}
+    for r in parts.filter("piece > 0 AND n > 0").groupBy("capacity", "piece").agg(F.sum("n").alias("n")).collect():
+        made[r["capacity"]][int(r["piece"])] = int(r["n"])
+    return made
+
+
+def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacity: int, histogram: dict[int, int] | None = None) -> DataFrame:
     """Rows (key, piece, piece_size, container) for every piece of every item.
 
     ``items`` is read several times; pass a stored table or a persisted frame.
+    ``histogram`` has the pieces by size where they were counted already.
     """
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must lie between 1 and {MAX_CAPACITY}")
-    cut = pieces_of(items.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")), "size", capacity)
-    histogram = {int(r[0]): int(r[1]) for r in cut.filter("piece_size > 0").groupBy("piece_size").count().collect()}
+    cut = pieces_of(sized(items, key, size), "size", capacity)
+    if histogram is None:
+        histogram = histograms(items, key, size, [capacity])[capacity]
+    buckets = max(RANK_BUCKETS, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
     ranges = plan_ranges(histogram, capacity)
     bins = max(1, int(((ranges["to_rank"] - ranges["from_rank"]) // ranges["each"] + ranges["first"]).max()) if len(ranges) else 1)
     table = spark.createDataFrame(ranges, "size long, from_rank long, to_rank long, each long, first long")
-    placed = ranked(cut.filter("piece_size > 0").withColumn("salt", F.xxhash64("key", "piece")), "piece_size", "salt").withColumnRenamed("rank", "rank_")
+    placed = ranked(cut.filter("piece_size > 0").withColumn("salt", F.xxhash64("key", "piece")), "piece_size", "salt", buckets).withColumnRenamed("rank", "rank_")
     #: ranges of a size do not overlap: each row meets one, found by equality on (size, block of ranks)
     step = 4096
     blocks = table.withColumn("block", F.explode(F.sequence(F.floor(F.col("from_rank") / step), F.floor((F.col("to_rank") - 1) / step))))
@@ -142,8 +162,9 @@ def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacity: i
 def pack_all(spark: SparkSession, items: DataFrame, key: str, size: str, budgets: dict[str, int]) -> DataFrame:
     """``pack`` for each named capacity, with a column ``budget_name``."""
     made = None
+    known = histograms(items, key, size, sorted({c for c in budgets.values() if 0 < c <= MAX_CAPACITY})) if budgets else {}
     for name, capacity in sorted(budgets.items()):
-        one = pack(spark, items, key, size, capacity).select(F.lit(name).alias("budget_name"), F.lit(capacity).alias("capacity_tokens"), key, "piece", "piece_size", "container")
+        one = pack(spark, items, key, size, capacity, known.get(capacity)).select(F.lit(name).alias("budget_name"), F.lit(capacity).alias("capacity_tokens"), key, "piece", "piece_size", "container")
         made = one if made is None else made.unionByName(one)
     if made is None:
         raise ValueError("no capacity is given")
