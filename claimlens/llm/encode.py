@@ -20,13 +20,16 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.plans.parallel import deal_out
@@ -57,8 +60,21 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(name: str) -> Vocabulary:
+    """The vocabulary that was shipped with the job under this name."""
+    return Vocabulary(SparkFiles.get(name))
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary file along with the job, once for each context; its name on the workers."""
+    context = spark.sparkContext
+    sent = getattr(context, "claimlens_files", {})
+    if path not in sent:
+        if Path(path).name in map(os.path.basename, sent):
+            raise ValueError(f"another vocabulary is called {Path(path).name}")
+        context.addFile(path)
+        context.claimlens_files = sent | {path: Path(path).name}
+    return Path(path).name
 
 
 def replay(words: list[str], vocab: Vocabulary) -> list[list[int]]:
@@ -159,8 +175,10 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, carried, strict=True)], F.col(f"`{text}`").alias("the_text"))
 
+    name = ship(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, cache = vocabulary(path), {}
+        vocab, cache = vocabulary(name), {}
         for batch in batches:
             texts = batch.column(len(carried)).to_pylist()
             for start, end in blocks(texts):
