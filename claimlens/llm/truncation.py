@@ -31,8 +31,6 @@ from pyspark.sql import Window
 from claimlens.llm import pairs
 from claimlens.llm.endings import body, has_trace, with_ending, without_trace
 
-LEAST = 16
-
 
 def longer_copies(values: DataFrame) -> DataFrame:
     """Rows (h, longer, follows) for each different ``v`` that a longer one starts with.
@@ -77,7 +75,7 @@ def texts_of(calls: DataFrame, explanations: DataFrame) -> DataFrame:
 def judged(rows: DataFrame) -> DataFrame:
     """``rows`` (src, row_id, text, prompt) with ``cut`` and ``copy_found`` (a longer copy exists)."""
     base = rows.select("src", "row_id", "text", F.coalesce("prompt", F.lit("")).alias("p"), F.regexp_replace(without_trace(F.col("text")), r"\s+$", "").alias("v"))
-    copies = longer_copies(base.filter(F.length("v") >= LEAST))
+    copies = longer_copies(base.filter("v <> ''"))
     shape = with_ending(base, "text", "shape").withColumn("trace", F.col("shape") & has_trace(F.col("text")))
     # only endings that look cut need to be told from answers that give back the prompt
     told = shape.withColumn("told", F.when(F.col("shape"), pairs.instructions(F.col("p")))).withColumn("offered", F.coalesce(pairs.offered(F.col("text"), F.col("told")), F.lit(False)))
