@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from claimlens.operators.flow import FLOW_SQL, flow
+from claimlens.plans.parallel import in_order
 from claimlens.registry import Registry
 from claimlens.sources import load
 
@@ -310,9 +311,8 @@ def wn_12_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("wn_14_chunk_index", "SELECT (row_number() OVER (PARTITION BY batch_id ORDER BY row_id) - 1) // 25 AS chunk, batch_id, row_id FROM annotations")
 def wn_14_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO-19: rows of a batch in chunks of 25."""
-    rows = load(spark, sf_dir, "annotations")
-    at = F.row_number().over(Window.partitionBy("batch_id").orderBy("row_id")) - 1
-    return rows.select(F.floor(at / 25).alias("chunk"), "batch_id", "row_id")
+    rows = in_order(load(spark, sf_dir, "annotations").select("batch_id", "row_id"), ["batch_id"], ["row_id"])
+    return rows.select(F.floor((F.col("rn") - 1) / 25).alias("chunk"), "batch_id", "row_id")
 
 
 # Cleaning and predicates

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from claimlens.operators.flow import FLOW_SQL, flow
+from claimlens.plans.parallel import in_order
 from claimlens.registry import Registry
 from claimlens.sources import load
 
@@ -46,8 +47,7 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("sp_02_stride_sample", "WITH r AS (SELECT call_id, snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY call_id) AS rn, count(*) OVER (PARTITION BY snapshot_id) AS n FROM llm_calls), s AS (SELECT *, CASE WHEN n > 50 THEN CAST(ceil(n / 50.0) AS BIGINT) ELSE 1 END AS stride FROM r) SELECT snapshot_id, call_id FROM s WHERE (rn - 1) % stride = 0 AND (rn - 1) // stride < 50")
 def sp_02_stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stride-th row of a source, at most 50; a short source is taken whole."""
-    by = Window.partitionBy("snapshot_id")
-    r = load(spark, sf_dir, "llm_calls").select("call_id", "snapshot_id").select("call_id", "snapshot_id", F.row_number().over(by.orderBy("call_id")).alias("rn"), F.count("*").over(by).alias("n"))
+    r = in_order(load(spark, sf_dir, "llm_calls").select("call_id", "snapshot_id"), ["snapshot_id"], ["call_id"])
     stride = F.when(F.col("n") > 50, F.ceil(F.col("n") / 50.0)).otherwise(1)
     at = F.col("rn") - 1
     return r.filter((at % stride == 0) & (F.floor(at / stride) < 50)).select("snapshot_id", "call_id")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from claimlens.operators.flow import FLOW_SQL, audited
+from claimlens.plans.parallel import in_order
 from claimlens.registry import Registry
 from claimlens.sources import load
 
@@ -129,11 +130,14 @@ def wn_05_risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_coverage(df: DataFrame, group: str, confidence: str, risk: str, order: str) -> DataFrame:
-    by = Window.partitionBy(group).orderBy(F.desc(confidence), order)
-    curve = df.select(group, (F.row_number().over(by) / F.count("*").over(Window.partitionBy(group))).alias("coverage"), F.avg(risk).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("risk"))
-    along = Window.partitionBy(group).orderBy("coverage")
-    area = (F.col("coverage") - F.lag("coverage").over(along)) * (F.col("risk") + F.lag("risk").over(along)) / 2
-    return curve.withColumn("area", area).groupBy(group).agg(F.count("*").alias("points"), F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 6).alias("aurc"))
+    """Trapezoids between neighbouring points of the curve of (coverage, mean risk so far).
+
+    Two neighbours differ in coverage by 1 / n, so the area is the sum of all risks of the
+    curve less half of its first and last, over n; no row has to see the one before it.
+    """
+    curve = in_order(df.select(group, confidence, order, F.col(risk).alias("risk_")), [group], [F.desc(confidence), order], "risk_").select(group, "rn", "n", (F.col("running") / F.col("rn")).alias("mean"))
+    weight = F.when((F.col("rn") == 1) & (F.col("n") == 1), 0.0).when((F.col("rn") == 1) | (F.col("rn") == F.col("n")), 0.5).otherwise(1.0)
+    return curve.groupBy(group).agg(F.count("*").alias("points"), F.round(F.sum(F.col("mean") * weight / F.col("n")), 6).alias("aurc"))
 
 
 @registry.add(
@@ -226,7 +230,7 @@ def st_02_fluency_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = pairs
     for column, out in (("click", "rx"), ("view", "ry")):
         counts = pairs.groupBy(column).agg(F.count("*").alias("c"))
-        before = counts.withColumn(out, F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c") + (F.col("c") + 1) / 2.0).drop("c")
+        before = in_order(counts, [], [column], "c").select(column, (F.col("running") - F.col("c") + (F.col("c") + 1) / 2.0).alias(out))
         ranked = ranked.join(before, column)
     s = ranked.agg(F.count("*").alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", F.col("rx")), ("sy", F.col("ry")), ("sxx", F.col("rx") * F.col("rx")), ("syy", F.col("ry") * F.col("ry")), ("sxy", F.col("rx") * F.col("ry")))])
     return s.select("n", F.round(_pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]), 6).alias("spearman"))
@@ -331,8 +335,7 @@ def st_07_wilcoxon_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed-rank test of two methods over blocks by the normal approximation with tie correction, all in aggregates."""
     s = scores(spark, sf_dir).filter(F.col("method").isin("click", "view")).groupBy("block").pivot("method", ["click", "view"]).agg(F.first("value"))
     d = s.select((F.col("click") - F.col("view")).alias("d")).filter("d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    along = Window.partitionBy(F.lit(1)).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    r = d.withColumn("rank", F.sum("c").over(along) - (F.col("c") - 1) / 2.0)
+    r = in_order(d, [], ["size"], "c").withColumn("rank", F.col("running") - (F.col("c") - 1) / 2.0)
     t = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     n = F.col("n")
     stat = F.least(F.col("plus"), n * (n + 1) / 2 - F.col("plus"))
