@@ -59,7 +59,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-03: claims of every explanation by the rules; TX-07, which takes a parsed extraction first, is not built."""
+    """TX-03: claims of every explanation by the rules."""
     rows = deal_out(load(spark, sf_dir, "explanations").select("explanation_id", "generator_id", F.coalesce("text", F.lit("")).alias("text")))
     found = X.with_mentions(rows.crossJoin(F.broadcast(variants(spark, sf_dir))), "text", "variants").drop("variants")
     return X.with_claims(found, "text", "hits")
@@ -71,13 +71,61 @@ def tx_03_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("generator_id", "direction", "direction_evidence").agg(F.count("*").alias("claims"))
 
 
+_LOW = "lower(substr(text, 1, 300))"
+
+
+def _stems(stems: tuple[str, ...]) -> str:
+    return "list_min(list_filter([" + ", ".join(f"strpos({_LOW}, '{x}')" for x in stems) + "], lambda p: p > 0))"
+
+
+_GIVEN = "coalesce(nullif(regexp_extract(substr(text, 1, 300), '=\\s*([+-][0-9]+(?:\\.[0-9]+)?)', 1), ''), nullif(regexp_extract(substr(text, 1, 300), '(?:^|[^0-9A-Za-z_.])([+-][0-9]+(?:\\.[0-9]+)?)', 1), ''))"
+
+
+@registry.add(
+    "tx_05_direction",
+    f"WITH n AS (SELECT generator_id, {_stems(X.LOWERING)} AS neg, {_stems(X.RAISING)} AS pos, {_stems(X.CONNECTIVES)} AS via, try_cast({_GIVEN} AS DOUBLE) AS v FROM explanations WHERE text IS NOT NULL), "
+    "d AS (SELECT generator_id, CASE WHEN neg IS NOT NULL AND (pos IS NULL OR neg <= pos) THEN '-' WHEN pos IS NOT NULL THEN '+' WHEN v >= 0 THEN '+' WHEN v < 0 THEN '-' WHEN via IS NOT NULL THEN '+' END AS direction, "
+    "CASE WHEN neg IS NOT NULL OR pos IS NOT NULL THEN 'word' WHEN v IS NOT NULL THEN 'number' WHEN via IS NOT NULL THEN 'connective' ELSE 'default' END AS evidence FROM n) SELECT generator_id, direction, evidence, count(*) AS n FROM d GROUP BY 1, 2, 3",
+)
+def tx_05_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first window of every explanation states."""
+    rows = load(spark, sf_dir, "explanations").filter("text IS NOT NULL").select("generator_id", X.direction_of(F.substring("text", 1, 300)).alias("d"))
+    return rows.groupBy("generator_id", F.col("d.direction").alias("direction"), F.col("d.evidence").alias("evidence")).agg(F.count("*").alias("n"))
+
+
 _SLICE = "substr(text, strpos(text, '['), length(text) - strpos(reverse(text), ']') + 2 - strpos(text, '['))"
 
 
-@registry.add("tx_06_parse_json", f"WITH s AS (SELECT {_SLICE} AS j FROM llm_calls WHERE prompt LIKE 'List each%' AND strpos(text, '[') > 0 AND strpos(text, ']') > strpos(text, '[')), c AS (SELECT unnest(from_json(j, '[{{\"feature\":\"VARCHAR\",\"direction\":\"VARCHAR\",\"magnitude\":\"DOUBLE\"}}]')) AS c FROM s WHERE json_valid(j)) SELECT c.feature AS feature, c.direction AS direction, count(*) AS n FROM c WHERE c.feature IS NOT NULL AND c.direction IN ('+', '-') GROUP BY 1, 2".replace("{{", "{").replace("}}", "}"))
+def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-07: (explanation_id, generator_id, claims, source): claims of a linked call whose JSON has some, else those of the rules.
+
+    Of several such calls the one with the least id counts; a hot request hash is reduced before it is joined.
+    """
+    calls = load(spark, sf_dir, "llm_calls").select("request_hash", "call_id", X.parse_claims(F.col("text")).alias("c")).filter(F.size("c") > 0)
+    first = calls.groupBy("request_hash").agg(F.min(F.struct("call_id", "c")).alias("x"))
+    linked = load(spark, sf_dir, "explanations").select("explanation_id", F.explode("llm_call_ids").alias("request_hash"))
+    parsed = linked.join(first, "request_hash").groupBy("explanation_id").agg(F.min("x").alias("x"))
+    stated = F.transform("x.c", lambda c, i: F.struct(c["feature"].alias("feature"), c["direction"].alias("direction"), (i + 1).alias("rank"), c["magnitude"].alias("magnitude"), F.lit("json").alias("direction_evidence")))
+    rows = extracted(spark, sf_dir).join(parsed, "explanation_id", "left")
+    return rows.select("explanation_id", "generator_id", F.when(F.col("x").isNull(), F.col("claims")).otherwise(stated).alias("claims"), F.when(F.col("x").isNull(), "rules").otherwise("json").alias("source"))
+
+
+_PARSED = f"""s AS (SELECT request_hash, {_SLICE} AS j FROM llm_calls WHERE strpos(text, '[') > 0 AND strpos(text, ']') > 0 AND length(text) - strpos(reverse(text), ']') + 1 > strpos(text, '[')),
+    c AS (SELECT request_hash, unnest(from_json(j, '[{{"feature":"VARCHAR","direction":"VARCHAR","magnitude":"DOUBLE"}}]')) AS c FROM s WHERE json_valid(j))"""
+
+
+@registry.add(
+    "tx_07_extract",
+    f"WITH {_PARSED}, g AS (SELECT DISTINCT request_hash FROM c WHERE trim(coalesce(c.feature, '')) <> '' AND c.direction IN ('+', '-')) "
+    "SELECT generator_id, CASE WHEN explanation_id IN (SELECT explanation_id FROM (SELECT explanation_id, unnest(llm_call_ids) AS h FROM explanations) JOIN g ON g.request_hash = h) THEN 'json' ELSE 'rules' END AS source, count(*) AS n FROM explanations GROUP BY 1, 2",
+)
+def tx_07_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark, sf_dir).groupBy("generator_id", "source").agg(F.count("*").alias("n"))
+
+
+@registry.add("tx_06_parse_json", f"WITH s AS (SELECT {_SLICE} AS j FROM llm_calls WHERE strpos(text, '[') > 0 AND strpos(text, ']') > strpos(text, '[')), c AS (SELECT unnest(from_json(j, '[{{\"feature\":\"VARCHAR\",\"direction\":\"VARCHAR\",\"magnitude\":\"DOUBLE\"}}]')) AS c FROM s WHERE json_valid(j)) SELECT c.feature AS feature, c.direction AS direction, count(*) AS n FROM c WHERE c.feature IS NOT NULL AND c.direction IN ('+', '-') GROUP BY 1, 2".replace("{{", "{").replace("}}", "}"))
 def tx_06_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = load(spark, sf_dir, "llm_calls").filter(F.col("prompt").startswith("List each"))
-    rows = calls.select(F.inline_outer(X.parse_claims(F.col("text")))).filter("feature IS NOT NULL")
+    rows = load(spark, sf_dir, "llm_calls").select(F.inline_outer(X.parse_claims(F.col("text")))).filter("feature IS NOT NULL")
     return rows.groupBy("feature", "direction").agg(F.count("*").alias("n"))
 
 
@@ -92,15 +140,38 @@ def tx_08_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.explode_outer(F.array_distinct(F.transform(hit, lambda n: n["feature"]))).alias("feature")).filter("feature IS NOT NULL")
 
 
-@registry.add("tx_10_rule_verifier", None)
-def tx_10_rule_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts against the evidence quoted in their own prompt."""
-    calls = deal_out(load(spark, sf_dir, "llm_calls").select("call_id", "prompt", "text"))
-    lines = F.regexp_extract_all("prompt", F.lit(r"(?m)(?:^|; |\d\. |- )(\p{Lu}[^=:\n;]*?)(?:=|: | = [^()\n]*\(weight )([+-])\d"), 1)
-    signs = F.regexp_extract_all("prompt", F.lit(r"(?m)(?:^|; |\d\. |- )(\p{Lu}[^=:\n;]*?)(?:=|: | = [^()\n]*\(weight )([+-])\d"), 2)
+_LINE = r"(?m)(?:^|; |\d\. |- )(\p{Lu}[^=:\n;]*?)(?:=|: | = [^()\n]*\(weight )([+-])\d"
+_ANY = lambda words: "regexp_matches(w, '" + "|".join(words) + "')"
+_VERDICTS = f"""e AS (SELECT call_id, lower(coalesce(text, '')) AS d, lower(trim(unnest(regexp_extract_all(prompt, '{_LINE}', 1)))) AS f, unnest(regexp_extract_all(prompt, '{_LINE}', 2)) AS s FROM llm_calls),
+    w AS (SELECT call_id, s, strpos(d, f) > 0 AS cited, substr(d, strpos(d, f), length(f) + {X.VERIFIER_WINDOW}) AS w FROM e),
+    k AS (SELECT call_id, count(*) FILTER (WHERE cited) AS cited, count(*) FILTER (WHERE cited AND CASE s WHEN '+' THEN {_ANY(X.SAYS_LESS)} AND NOT {_ANY(X.SAYS_MORE)} ELSE {_ANY(X.SAYS_MORE)} AND NOT {_ANY(X.SAYS_LESS)} END) AS clashes FROM w GROUP BY 1),
+    v AS (SELECT snapshot_id, CASE WHEN k.call_id IS NULL THEN 'no_evidence' WHEN cited = 0 THEN 'no_cited_feature' WHEN clashes > 0 THEN 'direction_mismatch' ELSE 'supported' END AS reason FROM llm_calls c LEFT JOIN k ON k.call_id = c.call_id)"""
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts with the reason of the rule verifier against the evidence quoted in their own prompt."""
+    calls = deal_out(load(spark, sf_dir, "llm_calls").select("call_id", "snapshot_id", "prompt", "text"))
+    lines, signs = F.regexp_extract_all("prompt", F.lit(_LINE), 1), F.regexp_extract_all("prompt", F.lit(_LINE), 2)
     evidence = F.zip_with(lines, signs, lambda f, s: F.struct(F.trim(f).alias("feature"), s.alias("direction")))
-    rows = calls.withColumn("evidence", evidence).withColumn("reason", X.verdict(F.coalesce("text", F.lit("")), F.col("evidence")))
-    return rows.groupBy("reason").agg(F.count("*").alias("calls"))
+    return calls.withColumn("evidence", evidence).withColumn("reason", X.verdict(F.coalesce("text", F.lit("")), F.coalesce("evidence", F.array().cast("array<struct<feature:string,direction:string>>"))))
+
+
+@registry.add("tx_10_rule_verifier", f"WITH {_VERDICTS} SELECT reason, count(*) AS calls FROM v GROUP BY 1")
+def tx_10_rule_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("calls"))
+
+
+def decide_abstention(draft: Column, reason: Column, fallback: Column) -> Column:
+    """TX-12, GN-06: struct (text, abstained, reason): a draft the verifier supports stands, else the fallback's text is given."""
+    gone = reason != "supported"
+    return F.struct(F.when(gone, fallback).otherwise(draft).alias("text"), gone.alias("abstained"), reason.alias("reason"))
+
+
+@registry.add("tx_12_verify_then_abstain", f"WITH {_VERDICTS} SELECT snapshot_id, reason <> 'supported' AS abstained, count(*) AS n, count(*) FILTER (WHERE reason <> 'supported') AS fallback_texts FROM v GROUP BY 1, 2")
+def tx_12_verify_then_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts are verified, those that fail give way to the fallback."""
+    rows = verdicts(spark, sf_dir).select("snapshot_id", decide_abstention(F.col("text"), F.col("reason"), F.lit("\x00fallback")).alias("x"))
+    return rows.groupBy("snapshot_id", "x.abstained").agg(F.count("*").alias("n"), F.count_if(F.col("x.text") == "\x00fallback").alias("fallback_texts"))
 
 
 @registry.add("tx_11_verdict_token", "SELECT contains(upper(text), 'SUPPORTED') AND NOT contains(upper(text), 'UNSUPPORTED') AS supported, count(*) AS n FROM llm_calls WHERE prompt LIKE '%UNSUPPORTED%' AND text IS NOT NULL GROUP BY 1")
