@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimlens import catalog
+from claimlens.plans import competence
 from claimlens.plans.competence import RISES, battery
 from claimlens.plans.layer2 import METRICS
 
@@ -58,3 +60,24 @@ def test_battery_summary_gives_verdicts(spark):
     assert len(rows) == 9 * 6
     assert rows["hfr", "fabricated_feature"]["admissible"] is True and rows["dsa", "sign_flip"]["admissible"] is None
     assert all(r["blind_spot"] == (o == "magnitude_inflation") for (_, o), r in rows.items())
+
+
+def test_patterns_stand_for_their_flows(spark):
+    """Counting flows by pattern first changes no score: ties, zeros, nulls, NaN and infinity included."""
+    values = (None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.25, -0.25, 0.5, -1e-300)
+    rng = random.Random(7)
+    phi = spark.createDataFrame([([rng.choice(values) for _ in range(4)],) for _ in range(1500)] + [([0.1 * rng.random() - 0.05 for _ in range(4)],) for _ in range(500)], "phi array<double>")
+    counted = lambda rows: sorted(((r["metric"], r["operator"], r["score"], r["n"]) for r in competence.battery_counts(rows).collect()), key=str)
+    each = counted(phi.withColumn("n", F.lit(1).cast("long")))
+    assert sum(n for *_, n in each) == 2000 * 7 * 9
+    assert counted(competence.alike(phi)) == each
+
+
+def test_battery_summary_corrupts_patterns_not_flows(spark, monkeypatch):
+    """All flows are counted, but what is corrupted and measured does not grow with them."""
+    seen, made = [], competence.battery_counts
+    monkeypatch.setattr(competence, "battery_counts", lambda rows: made(seen.append(rows) or rows))
+    result = catalog.queries()["st_03_battery_summary"](spark, "/root/testdata/sf0.01").collect()
+    n = [r["n"] for r in seen[0].collect()]
+    assert {r["n"] for r in result} == {sum(n)} == {60_000}
+    assert len(n) < 60_000 / 20
