@@ -47,10 +47,11 @@ def error_bound(k: int = K) -> float:
 
 @dataclass
 class Level:
-    """One compactor: ``parts`` arrays not yet joined, a counter of compactions."""
+    """One compactor: ``parts`` arrays not yet joined, a counter of compactions, the coin owed to the last one."""
 
     parts: list[np.ndarray] = field(default_factory=list)
     state: int = 0
+    owed: int | None = None
 
     def size(self) -> int:
         return sum(map(len, self.parts))
@@ -62,6 +63,16 @@ class Level:
             sections, width = sections * 2, width / 2**0.5
         return sections, 2 * round(width / 2)
 
+    def reach(self) -> int:
+        """Sections to compact: one more than the trailing ones of ``state``, which holds for joined states as well."""
+        return (~self.state & (self.state + 1)).bit_length()
+
+    def toss(self, coin: np.random.Generator) -> int:
+        """Every second coin is the opposite of the one before, as ``DEVIATION`` takes for granted."""
+        made = int(coin.integers(2)) if self.owed is None else self.owed
+        self.owed = 1 - made if self.owed is None else None
+        return made
+
 
 class Sketch:
     """Mergeable quantile sketch that protects the upper tail."""
@@ -93,14 +104,13 @@ class Sketch:
             level = self.levels[h]
             sections, width = level.geometry(self.k)
             if level.size() > 2 * sections * width:
-                free = (level.state & -level.state).bit_length() if level.state else 1
-                keep = 2 * sections * width - min(max(free, 1), sections) * width
+                keep = 2 * sections * width - min(level.reach(), sections) * width
                 items = np.sort(np.concatenate(level.parts))
                 cut = len(items) - keep
                 cut -= cut % 2
                 if h + 1 == len(self.levels):
                     self.levels.append(Level())
-                self.levels[h + 1].parts.append(items[int(self.coin.integers(2)) : cut : 2])
+                self.levels[h + 1].parts.append(items[level.toss(self.coin) : cut : 2])
                 level.parts, level.state = [items[cut:]], level.state + 1
             h += 1
 

@@ -39,6 +39,20 @@ def test_sketch_keeps_its_bound_and_merges():
     assert total.quantiles((0.0, 1.0)) == [values.min(), values.max()]
 
 
+def test_upper_tail_of_many_merged_sketches():
+    parts, size, q = 300, 1000, 0.99
+    deviation, errors = quantiles.error_bound() / 3 * (1 - q), []
+    for again in range(20):
+        values = np.random.default_rng((again, parts)).permutation(parts * size).astype(float)
+        total = quantiles.Sketch(seed=(again, 1))
+        for i, part in enumerate(np.split(values, parts)):
+            one = quantiles.Sketch(seed=(again, i, 0))
+            one.update(part)
+            total.merge(quantiles.Sketch.of(quantiles.K, 0, *one.row()))
+        errors.append(((total.quantiles((q,))[0] + 1) / len(values) - q) / deviation)
+    assert np.sqrt(np.mean(np.square(errors))) < 1.3 and np.max(np.abs(errors)) < 3
+
+
 def test_percentiles_of_odd_rows(spark):
     cells = spark.createDataFrame([("a", "g", "clash"), ("a", "g", "clash")], CELLS)
     rows = [(1, "a", 5.0, None, 0), (1, "a", 7.0, 3, 9), (2, "a", float("nan"), 4, 0), (3, "a", -1.0, 4, 0), (4, "b", 2.0, None, 0), (None, "a", 1.0, None, 0)]
